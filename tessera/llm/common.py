@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -50,21 +52,17 @@ def map_lists(df: DataFrame, make: Callable[[], Callable], schema: str, rows: in
 
     ``make()`` runs once a task and returns ``fn(*columns) -> columns``; ``fn`` gets at most ``rows`` rows.
     """
-    from pyspark.sql.types import StructType
-
     out = StructType.fromDDL(schema)
-    names = out.names
+    kinds, names = to_arrow_schema(out), out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        fn, kinds = make(), to_arrow_schema(out, timezone="UTC")
+        fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = fn(*(c.to_pylist() for c in part.columns))
                 if len(got[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, type=kinds.field(n).type) for n, v in zip(names, got, strict=True)], schema=pa.schema([pa.field(n, kinds.field(n).type) for n in names]))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(got, kinds.types, strict=True)], names=names)
 
     return df.mapInArrow(run, out)
 
