@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_wfst, token_counts, token_store
+from tessera.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_wfst, suffix_dedup, token_counts, token_store
 from tessera.llm.common import read
 
 
@@ -113,6 +113,11 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id
 """
 
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_near_dedup": op7_near_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
