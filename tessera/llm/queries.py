@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_wfst, suffix_dedup, suffix_tree_lm, token_counts, token_store
+from tessera.llm import decontamination, line_dedup, near_dedup, personal_data, quality_rules, sentencepiece_wfst, suffix_dedup, suffix_tree_lm, token_counts, token_store
 from tessera.llm.common import read
 
 
@@ -118,6 +118,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.scores(read(spark, sf_dir, "documents"))
 
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_near_dedup": op7_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_personal_data": op9_personal_data,
     "op10_suffix_tree_lm": op10_suffix_tree_lm,
 }
 

@@ -1,0 +1,96 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from tests.conftest import SF
+from tests.llm.helpers import ODD, docs
+
+from tessera.llm import personal_data as pd_
+from tessera.llm.queries import QUERIES
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+HARD = ["a@b@c.d a@b.c..d x@y @z.q", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (988) 555-2485 4524132264652876", "é@x.y josé@mail.com", "+49", "12.34.5", "a.b+c%d@e-f.g-h.i"]
+
+
+def plain(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            odd = sum(int(c) for c in d[-1::-2]) + sum(sum(divmod(2 * int(c), 10)) for c in d[-2::-2])
+            if lo <= len(d) <= hi and (kind == "phone" or odd % 10 == 0):
+                out.append((kind, *m.span()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_base_equals_the_patterns(seed):
+    rng = np.random.default_rng(seed)
+    for text in [*HARD, "".join(rng.choice(list("ab1 23@.+-()%_é5"), 300))]:
+        assert pd_.base_spans(text) == plain(text)
+
+
+def test_whole_table(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_personal_data"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        base, r = plain(t), got[d]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pd_.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pd_.by_kind(base).encode()).hexdigest()
+        assert {pd_.by_kind([s]) for s in base} <= set(r.spans.split(","))
+
+
+def test_held_out_accuracy():
+    model, right, wrong, missed = pd_.trained(), 0, 0, 0
+    texts = pd_.examples(300, seed=123)
+    for (t, labelled), found in zip(texts, pd_.model_spans(model, [t for t, _ in texts])):
+        got = set(pd_.added_spans(t, [], found))
+        want = {s for s in labelled if pd_.valid(s[0], t[s[1] : s[2]])}
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right > 0.93 * (right + missed) and right > 0.97 * (right + wrong)
+
+
+def test_the_model_adds_what_patterns_lose_and_nothing_to_clean_texts():
+    model = pd_.trained()
+    text = "erntou +1 (269) 555-3296 4524132264652876 and on"
+    assert pd_.by_kind(pd_.added_spans(text, pd_.base_spans(text), pd_.model_spans(model, [text])[0])) == "card:25:41,phone:7:24"
+    clean = ["Licensed under CC BY-NC 4.0.\nIn 2023, version 2.0 and 12,345.67 of 10.", "no digits at all " * 30]
+    assert pd_.model_spans(model, clean)[1] == [] and not pd_.added_spans(clean[0], [], pd_.model_spans(model, clean)[0])
+
+
+def test_windows_are_reconciled():
+    """A long stretch is decoded in windows; spans at their borders come out whole."""
+    model = pd_.trained()
+    for shift in range(0, 64, 7):
+        text = "12 " * 20 + "x" * shift + " 988-555-2485 " + "34 " * 30
+        found = pd_.model_spans(model, [text])[0]
+        assert all(a < z for _, a, z in found) and found == sorted(found, key=lambda s: s[1])
+
+
+def test_gradients():
+    """Back-propagation agrees with differences."""
+    t = pd_.Tagger(seed=1)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    texts = pd_.examples(3, seed=5)
+    ids = np.stack([pd_.char_ids(x[:20]) for x, _ in texts], 1)
+    y = np.stack([pd_.label_ids(len(x), s)[:20] for x, s in texts], 1)
+    _, g = t.gradients(ids, y)
+    for k, at in (("Wf", (3, 5)), ("Wb", (12, 40)), ("O", (7, 2)), ("bf", (9,)), ("E", (int(ids[4, 0]), 1))):
+        old, h = t.p[k][at], 1e-3
+        t.p[k][at] = old + h
+        up = t.gradients(ids, y)[0]
+        t.p[k][at] = old - h
+        down = t.gradients(ids, y)[0]
+        t.p[k][at] = old
+        assert g[k][at] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=2e-3)
+
+
+def test_hard_texts(spark):
+    table = docs(spark, [*ODD, *HARD], ids=[None, *range(len(ODD) + len(HARD) - 1)])
+    assert pd_.find_personal_data(table).count() == len(ODD) + len(HARD)
+    assert pd_.find_personal_data(docs(spark, [])).count() == 0
