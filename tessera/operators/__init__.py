@@ -1 +1 @@
-
+"""operators of the cohort engine."""

@@ -1 +1 @@
-
+"""plans of the cohort engine."""

@@ -1 +1 @@
-
+"""sources of the cohort engine."""

@@ -1 +1 @@
-
+"""streaming of the cohort engine."""
