@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MIN_DISCORDANT = 25
 
@@ -29,7 +30,7 @@ def with_statistic(counts: DataFrame) -> DataFrame:
     return counts.withColumn("statistic", F.when(d >= MIN_DISCORDANT, F.pow(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(2)) / d))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(statistic: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return statistic.map(lambda s: None if pd.isna(s) else math.erfc(math.sqrt(s / 2)))

@@ -660,3 +660,175 @@ def q44_top_features(spark, d):
 @query("WITH " + OOF + " SELECT fold, round(avg(-pow(1 - greatest(least(p, 1 - 1e-7), 1e-7), 2.0) * ln(greatest(least(p, 1 - 1e-7), 1e-7))), 6) AS focal_loss FROM oof WHERE k = y GROUP BY fold")
 def q45_focal_loss(spark, d):
     return rounded(c.oof(spark, d).groupBy("fold").agg(F.avg(focal_loss(F.get("p", F.col("y")))).alias("focal_loss")), "focal_loss")
+
+
+# --- Spark ML, searches and gates ----------------------------------------------------------------------------------
+
+
+def _rows(spark, d):
+    """Embeddings of classes 0 to 3 as id, cls, fold, y, vec."""
+    return c.embedding_rows(spark, d).filter("cls IN ('0', '1', '2', '3')").withColumn("y", F.col("cls").cast("double"))
+
+
+def _cv(spark, d, name, **more):
+    from tessera.operators.models import cross_validate
+
+    preds = cross_validate(_rows(spark, d).withColumn("fold", F.col("fold") % 2), name, 2, c.CONFIG.seed, **more)
+    return rounded(fold_summaries(preds, "fold"), *metrics.METRICS)
+
+
+@query()
+def q45_rf_cv(spark, d):
+    return _cv(spark, d, "random_forest", trees=10, depth=5)
+
+
+@query()
+def q45_lr_cv(spark, d):
+    return _cv(spark, d, "logistic_regression")
+
+
+@query()
+def q45_calibrators(spark, d):
+    """Scores of the conformal half, raw and by each calibrator."""
+    from tessera.operators.models import calibrate
+
+    preds = written(c.holdout_predictions(spark, d, "val"))
+    calib, conf = preds.filter("part = 'calib'"), preds.filter("part = 'conf'")
+    out = None
+    for method in ("none", "platt", "isotonic"):
+        one = calibration.proper_scores(calibrate(calib, conf, len(c.CLASSES), method, c.CONFIG.min_calibration).withColumn("method", F.lit(method)), "method")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "nll", "brier")
+
+
+@query()
+def q45_pca(spark, d):
+    from tessera.operators.models import fold_safe_pca
+
+    out = fold_safe_pca(c.embedding_rows(spark, d), "vec", 8, 64)
+    return out.select("id", F.size("reduced").alias("dim"), F.round(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
+
+
+def _search(spark, d, name):
+    from tessera.operators import selection
+
+    rows = written(_rows(spark, d).select("id", "cls", "vec").repartition(8))
+    fitness = selection.mask_fitness(rows, "vec", 64)
+    run = {"ga": lambda: selection.select_ga(fitness, 64, c.CONFIG.seed, 8, 4), "bda": lambda: selection.select_bda(fitness, 64, c.CONFIG.seed, 8, 4)}[name]
+    mask, history = run()
+    return spark.createDataFrame([(i, bool(b), float(history[-1])) for i, b in enumerate(mask)], "pos int, selected boolean, best_fitness double")
+
+
+@query()
+def q46_ga_select(spark, d):
+    return _search(spark, d, "ga")
+
+
+@query()
+def q46_bda_select(spark, d):
+    return _search(spark, d, "bda")
+
+
+@query()
+def q46_rfe_select(spark, d):
+    """Elimination by logistic-regression weights, 64 places to 16."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    import numpy as np
+
+    from tessera.operators.selection import select_rfe
+
+    rows = written(_rows(spark, d).select("y", F.col("vec").cast("array<double>").alias("vec")))
+
+    def weights(mask):
+        places = F.array(*[F.lit(int(i)) for i in np.flatnonzero(mask)])
+        data = rows.select("y", array_to_vector(F.transform(places, lambda i: F.get("vec", i))).alias("features"))
+        return np.abs(LogisticRegression(labelCol="y", regParam=0.01, maxIter=20).fit(data).coefficientMatrix.toArray()).sum(0)
+
+    mask = select_rfe(weights, 64, 16, 0.25)
+    return spark.createDataFrame([(i, bool(b)) for i, b in enumerate(mask)], "pos int, selected boolean")
+
+
+@query(
+    f"""WITH {VAL}, bad AS (SELECT id, sum(p) AS s, min(p) AS lo FROM val GROUP BY id) SELECT count(*) AS n_rows, CAST(count_if(abs(s - 1) > 1e-5 OR lo < 0) AS BIGINT) AS n_violations FROM bad"""
+)
+def q47_probability_validity(spark, d):
+    from tessera.operators.gates import probability_validity
+
+    preds = c.holdout_predictions(spark, d, "val")
+    return preds.agg(F.count("*").alias("n_rows")).crossJoin(probability_validity(preds, len(c.CLASSES)).agg(F.count("*").alias("n_violations")))
+
+
+@query(
+    f"""WITH {VAL}, a AS (SELECT id, 'train' AS part FROM folded UNION ALL SELECT DISTINCT id, part FROM val UNION ALL SELECT id, 'test' FROM split WHERE split = 'test'), k AS (SELECT id, count(DISTINCT part) AS k FROM a GROUP BY id)
+SELECT count(*) AS n_ids, CAST(count_if(k > 1) AS BIGINT) AS n_shared FROM k"""
+)
+def q47_partition_isolation(spark, d):
+    parts = splits.halves(c.holdout(spark, d, "val").select("id", "cls"), c.CONFIG.seed + 2).select("id", "part")
+    parts = parts.unionByName(c.folded(spark, d).select("id", F.lit("train").alias("part"))).unionByName(c.holdout(spark, d, "test").select("id", F.lit("test").alias("part")))
+    return splits.isolation(parts)
+
+
+@query(
+    f"""WITH {OOF} {FOLD_CONFUSION}, r AS (SELECT 'L12' AS arm, avg(macro_f1) AS m, count(*) AS n FROM fs), s AS (SELECT * FROM (VALUES ('L12', 0.5::DOUBLE), ('L99', 0.5)) v(arm, macro_f1))
+SELECT s.arm AS detail, 'all folds' AS "check" FROM s LEFT JOIN r ON r.arm = s.arm WHERE coalesce(n, 0) <> 5 UNION ALL SELECT s.arm, 'mean' FROM s LEFT JOIN r ON r.arm = s.arm WHERE m IS NULL OR abs(m - macro_f1) > 1e-4"""
+)
+def q47_winner_contract(spark, d):
+    from tessera.operators.gates import winner_contract
+
+    rows = fold_summaries(c.oof(spark, d), "fold").withColumn("arm", F.lit("L12"))
+    stored = spark.createDataFrame([("L12", 0.5), ("L99", 0.5)], "arm string, macro_f1 double")
+    return winner_contract(stored, rows, c.CONFIG.folds)
+
+
+@query("SELECT \"check\", count(*) AS n FROM (SELECT 'missing' AS \"check\" FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY 1")
+def q47_cache_preflight(spark, d):
+    from tessera.operators.gates import missing_cache
+
+    return missing_cache(c.read(spark, d, "documents").select("doc_id"), c.read(spark, d, "labels").select("doc_id"), "doc_id").groupBy("check").agg(F.count("*").alias("n"))
+
+
+MANIFESTS = [(0, "x1", 1298, True), (1, "x1", 1298, False), (2, "x2", 1298, True), (3, "x1", 1316, True), (4, None, 1298, True)]
+
+
+@query(
+    """SELECT fold, CASE WHEN e IS DISTINCT FROM 'x1' THEN 'experiment' WHEN dim IS DISTINCT FROM 1298 THEN 'dimension' WHEN NOT complete THEN 'complete' END AS reason
+FROM (VALUES (0, 'x1', 1298, true), (1, 'x1', 1298, false), (2, 'x2', 1298, true), (3, 'x1', 1316, true), (4, NULL, 1298, true)) t(fold, e, dim, complete)"""
+)
+def q47_fold_cache_validation(spark, d):
+    from tessera.operators.gates import first_failure
+
+    rows = spark.createDataFrame(MANIFESTS, "fold int, experiment string, dim int, complete boolean")
+    checks = {"experiment": F.col("experiment") == "x1", "dimension": F.col("dim") == 1298, "complete": F.col("complete")}
+    return rows.select("fold", first_failure(checks).alias("reason"))
+
+
+@query()
+def q47_run_gates(spark, d):
+    from tessera.operators.gates import run_gates
+
+    conf = metrics.confusion(c.oof(spark, d), len(c.CLASSES))
+    per = metrics.class_metrics(conf)
+    held = metrics.summary(metrics.class_metrics(metrics.confusion(c.holdout_predictions(spark, d, "val"), len(c.CLASSES))))
+    out = run_gates(per, metrics.summary(per), metrics.dominance(conf), held)
+    return rounded(out, "m", "least", "r", "c")
+
+
+@query(
+    f"""WITH {VAL}, t AS (SELECT id, any_value(y) AS y, any_value(pred) AS pred FROM held WHERE id NOT IN (SELECT id FROM part) GROUP BY id), ks AS (SELECT unnest([0, 1, 2, 3]) AS k),
+m AS (SELECT k, (SELECT count(*) FROM t WHERE y = k)::DOUBLE AS s, (SELECT count(*) FROM t WHERE pred = k)::DOUBLE AS p, (SELECT count(*) FROM t WHERE y = k AND pred = k)::DOUBLE AS c FROM ks)
+SELECT round(avg(CASE WHEN s + p > 0 THEN 2 * c / (s + p) ELSE 0 END), 6) AS macro_f1, round(sum(c) / sum(s), 6) AS accuracy, round(avg(CASE WHEN s > 0 THEN c / s END), 6) AS balanced_accuracy FROM m"""
+)
+def q48_locked_test(spark, d):
+    from tessera.operators.gates import locked_test
+
+    preds = c.holdout_predictions(spark, d, "test")
+    rows = locked_test(True, preds, c.holdout(spark, d, "test").count())
+    return rounded(metrics.summary(metrics.class_metrics(metrics.confusion(rows, len(c.CLASSES)))), *metrics.METRICS).select("macro_f1", "accuracy", "balanced_accuracy")
+
+
+@query("WITH " + FOLDS + ", b AS (SELECT arg_min(cls, (-n, cls)) AS pred FROM dev_sizes) SELECT pred, count(*) AS n, CAST(count_if(cls = pred) AS BIGINT) AS n_right FROM folded CROSS JOIN b GROUP BY pred")
+def q48_majority_baseline(spark, d):
+    rows = c.folded(spark, d)
+    best = rows.groupBy("cls").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "cls"))["cls"].alias("pred"))
+    return rows.join(F.broadcast(best)).groupBy("pred").agg(F.count("*").alias("n"), F.count_if(F.col("cls") == F.col("pred")).alias("n_right"))
