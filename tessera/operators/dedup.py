@@ -15,11 +15,12 @@ def exact_groups(items: DataFrame, content: Column, id_: str = "id") -> DataFram
     return items.groupBy(F.md5(content.cast("binary")).alias("hash")).agg(F.count("*").alias("n"), F.min(id_).alias("kept")).filter("n > 1")
 
 
-def simhash(items: DataFrame, text: str = "text", id_: str = "id") -> DataFrame:
-    """``id_`` , lo, hi: the two halves of a 64-bit SimHash over all tokens (runs without blank, line end and tab).
+def simhash(items: DataFrame, text: str = "text", id_: str = "id", *keep: str) -> DataFrame:
+    """``id_``, ``keep``, lo, hi: the two halves of a 64-bit SimHash over all tokens (runs without blank, line end and tab).
 
-    A token's bits are the first 64 of its MD5; a hash bit is set if more tokens have it than not.
+    A token's bits are the first 64 of its MD5; a hash bit is set if more tokens have it than not. One pass without a shuffle.
     """
+    kinds = {c: items.schema[c].dataType.simpleString() for c in keep}
 
     def run(batches):
         import pyarrow as pa
@@ -27,27 +28,33 @@ def simhash(items: DataFrame, text: str = "text", id_: str = "id") -> DataFrame:
         known: dict[str, np.ndarray] = {}
         split = str.maketrans("\n\t\r", "   ")
 
-        def bits(token: str) -> np.ndarray:
+        def signs(token: str) -> np.ndarray:
             got = known.get(token)
             if got is None:
-                if len(known) > 100_000:
+                if len(known) > 200_000:
                     known.clear()
-                digest = hashlib.md5(token.encode()).digest()[:8]
-                got = known[token] = np.unpackbits(np.frombuffer(digest, np.uint8)).astype(np.int32)
+                bits = np.unpackbits(np.frombuffer(hashlib.md5(token.encode()).digest()[:8], np.uint8))
+                got = known[token] = bits.astype(np.int8) * 2 - 1
             return got
 
         for batch in batches:
             lo, hi = [], []
             for t in batch.column(1).to_pylist():
-                total = np.zeros(64, np.int64)
-                for token, n in Counter(x for x in (t or "").translate(split).split(" ") if x).items():
-                    total += (2 * bits(token) - 1) * n
+                tokens = Counter((t or "").translate(split).split(" "))
+                tokens.pop("", None)
+                if not tokens:
+                    lo.append(0)
+                    hi.append(0)
+                    continue
+                table = np.frombuffer(b"".join([signs(x).tobytes() for x in tokens]), np.int8).reshape(-1, 64)
+                total = np.array(list(tokens.values()), np.float64) @ table
                 raw = np.packbits(total > 0).tobytes()
                 lo.append(int.from_bytes(raw[:4], "big"))
                 hi.append(int.from_bytes(raw[4:], "big"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=[id_, "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=[id_, *keep, "lo", "hi"])
 
-    return items.select(F.col(id_).cast("long").alias(id_), text).mapInArrow(run, f"{id_} long, lo long, hi long")
+    schema = ", ".join([f"{id_} long", *(f"{c} {k}" for c, k in kinds.items()), "lo long, hi long"])
+    return items.select(F.col(id_).cast("long").alias(id_), text, *keep).mapInArrow(run, schema)
 
 
 def hamming(a: DataFrame, b: DataFrame) -> Column:

@@ -12,6 +12,7 @@ from tessera.operators import audit, calibration, conformal, dedup, features, la
 from tessera.plans import cohort as c
 from tessera.plans.cohort_sql import CLASS_LIST, CONFUSION, EMBEDDINGS, FOLD_CONFUSION, FOLDS, ITEMS, OOF, RANGES, SPLIT, VAL, scorer
 from tessera.operators.scoring import LETTERS
+from tessera.sources.sinks import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,8 +241,8 @@ pairs AS (SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.lo, b.lo)) + bit_c
 
 
 def representatives(spark, d):
-    rows = c.items(spark, d, "text")
-    return dedup.representatives(rows.select("id", "cls").join(dedup.simhash(rows), "id"), ["cls"])
+    """Hashed once and written: the join of pairs reads them twice."""
+    return written(dedup.representatives(dedup.simhash(c.items(spark, d, "text"), "text", "id", "cls"), ["cls"]))
 
 
 @query(f"WITH {SIMHASH} SELECT id, lo, hi FROM hashed")
@@ -265,21 +266,6 @@ def q22_near_duplicate_greedy(spark, d):
     return dedup.greedy_leaders(pairs, written)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (spark.checkpoint.dir; a folder of its own only in a local session)."""
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query(f"WITH {SIMHASH}, reps AS (SELECT cls, lo, hi, min(id) AS rep FROM hashed GROUP BY cls, lo, hi) SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS distance FROM reps a JOIN reps b ON a.cls < b.cls WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 5")
 def q23_cross_class_conflicts(spark, d):
     return dedup.close_pairs(representatives(spark, d), c.CONFIG.duplicate_bits, across="cls")
@@ -442,7 +428,7 @@ b AS (SELECT bin, count(*) AS n, avg(conf) AS confidence, avg(ok) AS accuracy FR
 SELECT CAST(edges.bin AS INT) AS bin, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(n, 0) AS n, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(accuracy, 0), 6) AS accuracy FROM edges LEFT JOIN b ON b.bin = edges.bin"""
 )
 def q33_reliability_bins(spark, d):
-    both = c.holdout_predictions(spark, d, "val").drop("part").unionByName(c.holdout_predictions(spark, d, "test"))
+    both = c.holdout_predictions(spark, d, "val", "test")
     return rounded(calibration.reliability(both, c.CONFIG.ece_bins), "lo", "hi", "confidence", "accuracy")
 
 
@@ -496,8 +482,9 @@ SET_COLUMNS = ("coverage", "mean_size", "median_size", "singleton", "empty", "am
 
 
 def marginal_test_sets(spark, d):
-    fit = conformal.quantiles(c.holdout_predictions(spark, d, "val").filter("part = 'conf'"), c.CONFIG.alpha)
-    return conformal.marginal_sets(c.holdout_predictions(spark, d, "test"), fit)
+    preds = written(c.holdout_predictions(spark, d, "val", "test"))
+    fit = conformal.quantiles(preds.filter("part = 'conf'"), c.CONFIG.alpha)
+    return conformal.marginal_sets(preds.filter("part = 'test'"), fit)
 
 
 @query(f"WITH {MARGINAL} SELECT n, k, round(q, 6) AS q FROM fit")
@@ -527,8 +514,9 @@ def q37_mondrian_fit(spark, d):
 
 @query(f"WITH {MONDRIAN}, {TEST_SETS.format(on='fit.y = tst.k')} SELECT y, count(*) AS n, {EVALUATION} FROM sets GROUP BY y")
 def q37_conformal_mondrian(spark, d):
-    fit = conformal.by_class(c.holdout_predictions(spark, d, "val").filter("part = 'conf'"), c.CONFIG.alpha, len(c.CLASSES))
-    return rounded(conformal.evaluation(conformal.mondrian_sets(c.holdout_predictions(spark, d, "test"), fit), "y"), *SET_COLUMNS)
+    preds = written(c.holdout_predictions(spark, d, "val", "test"))
+    fit = conformal.by_class(preds.filter("part = 'conf'"), c.CONFIG.alpha, len(c.CLASSES))
+    return rounded(conformal.evaluation(conformal.mondrian_sets(preds.filter("part = 'test'"), fit), "y"), *SET_COLUMNS)
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.operators import scoring, splits
+from tessera.sources.sinks import written
 
 CONFIG = Config()
 CLASSES = ["de", "en", "es", "fr"]
@@ -50,31 +51,45 @@ def holdout(spark: SparkSession, sf_dir: str, split: str, *more: str) -> DataFra
     return split_items(spark, sf_dir, *more).filter(F.col("split") == split)
 
 
-def featured(rows: DataFrame, letters=scoring.LETTERS) -> DataFrame:
-    return rows.withColumn("x", F.array(*scoring.letter_features(F.col("text"), letters))).drop("text")
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, cls, source_type, split, x (letter features) of all items: texts are read once, then left behind."""
+    rows = split_items(spark, sf_dir, "text").withColumn("x", F.array(*scoring.letter_features(F.col("text"))))
+    return written(rows.select("id", "cls", "source_type", "split", "x"))
 
 
-def oof(spark: SparkSession, sf_dir: str, letters=scoring.LETTERS) -> DataFrame:
+def development(rows: DataFrame) -> DataFrame:
+    """id, cls, fold, x of the training originals of ``base``."""
+    return splits.folds(rows.filter("split = 'train' AND source_type = 'original'").select("id", "cls", "x"), CONFIG.folds, CONFIG.seed + 1).select("id", "cls", "fold", "x")
+
+
+def _oof(rows: DataFrame, k: int) -> DataFrame:
+    some = rows.withColumn("x", F.slice("x", 1, k))
+    return scoring.predictions(some, scoring.centroids(some, CONFIG.folds, k), CLASSES)
+
+
+def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of the training originals."""
-    rows = featured(folded(spark, sf_dir, "text"), letters).select("id", "cls", "fold", "x")
-    return scoring.predictions(rows, scoring.centroids(rows, CONFIG.folds, len(letters)), CLASSES)
+    return _oof(written(development(base(spark, sf_dir))), len(scoring.LETTERS))
 
 
-def holdout_predictions(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """Predictions of held-out rows by the scorer fitted on all training originals; validation rows have ``part``."""
-    train = featured(folded(spark, sf_dir, "text")).select("id", "cls", "fold", "x")
-    rows = featured(holdout(spark, sf_dir, split, "text")).select("id", "cls", F.lit(-1).alias("fold"), "x")
-    out = scoring.predictions(rows, scoring.centroids(train, CONFIG.folds, len(scoring.LETTERS)).filter("fold = -1"), CLASSES)
-    if split == "val":
-        parts = splits.halves(holdout(spark, sf_dir, split).select("id", "cls"), CONFIG.seed + 2).select("id", "part")
-        out = out.join(parts, "id")
-    return out
+def holdout_predictions(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
+    """Predictions of held-out rows by the scorer fitted on all training originals, with ``part``: calib or conf of the
+    validation rows, test of the test rows."""
+    rows = base(spark, sf_dir)
+    held = rows.filter(F.col("split").isin(*which))
+    parts = splits.halves(held.filter("split = 'val'").select("id", "cls"), CONFIG.seed + 2).select("id", "part")
+    if "test" in which:
+        parts = parts.unionByName(held.filter("split = 'test'").select("id", F.lit("test").alias("part")))
+    # Fold -1 is trained on all folds, so one fold number does for the training rows.
+    train = rows.filter("split = 'train' AND source_type = 'original'").select("cls", F.lit(0).alias("fold"), "x")
+    centres = scoring.centroids(train, 0, len(scoring.LETTERS))
+    return scoring.predictions(held.select("id", "cls", F.lit(-1).alias("fold"), "x"), centres, CLASSES).join(parts, "id")
 
 
 def arm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arm, id, fold, y, pred of three letter sets."""
-    arms = {"L4": scoring.LETTERS[:4], "L8": scoring.LETTERS[:8], "L12": scoring.LETTERS}
-    parts = [oof(spark, sf_dir, letters).select(F.lit(a).alias("arm"), "id", "fold", "y", "pred") for a, letters in arms.items()]
+    rows = written(development(base(spark, sf_dir)))
+    parts = [_oof(rows, k).select(F.lit(f"L{k}").alias("arm"), "id", "fold", "y", "pred") for k in (4, 8, 12)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame
@@ -34,3 +35,19 @@ def metadata_digest(df: DataFrame, buckets: int = 256) -> DataFrame:
 
 def config_snapshot(config) -> str:
     return json.dumps(asdict(config) if is_dataclass(config) else config, sort_keys=True, default=str, indent=1)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, where what follows reads it more than once or lineage should end.
+
+    The folder is spark.checkpoint.dir; a local session may leave it unset.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

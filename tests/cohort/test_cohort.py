@@ -8,8 +8,8 @@ from tessera.config import Config, check_domain
 from tessera.functions import images
 from tessera.functions.columns import id_of_filename, normalize_key, parent_key, ranked, seeded
 from tessera.operators import audit, dedup, labels, lineage, splits
-from tessera.plans.catalogue import written
 from tessera.sources import files, sinks
+from tessera.sources.sinks import written
 
 
 def test_keys(spark):
