@@ -6,11 +6,12 @@
    ``CHUNKS * (ERRORS + 1) - 1`` symbols have, by pigeonhole, a chunk with at most ERRORS = 1 differing symbols; so each
    chunk is filed under every key that masks one of its symbols, and such a pair shares a key. (For sets of similarity
    0.85 the chance to share none is below 3 in a million.)
-3. *Links.* Within a key each node is paired with the smallest node only; of these pairs each node first tries the one
-   with the closest signature, confirmed on full sets, and components are formed. Then keys that still hold nodes of
-   different components are gone through in blocks, where all pairs across components with close signatures (2 bits a
-   symbol) become candidates; they are confirmed on full sets as well. Pairs inside a component need no test, so groups
-   of copies never become all their pairs, and no link between components is lost to a cap.
+3. *Links.* Within a key each node is paired with the smallest node only. Of these pairs each node first tries the one
+   with the closest signature, confirmed on full sets, and components are formed; and all pairs with close signatures
+   make coarser clusters. A cluster that still holds several components is gone through in blocks: nodes of different
+   components with close signatures are confirmed on full sets where they are, and only links leave the task. Nodes that
+   share a key but no cluster are few; their close pairs become candidates. Pairs inside a component need no test, so
+   groups of copies never become all their pairs, and no link between components is lost to a cap.
 4. *Components* by alternating large-star and small-star steps; each step is a written table.
 
 Nothing about documents is collected to the driver but counts and checksums.
@@ -44,8 +45,11 @@ _PLACE = _ODD(64)
 #: Differing 2-bit symbols (of 96) up to which a pair is confirmed on full sets: sets of similarity 0.85 differ in
 #: 10.8 on average, with a standard deviation of 3.1.
 CLOSE = 28
-#: Rows of one block when a key is gone through in blocks, and pairs of one leader checked together.
-BLOCK, SALT_ROWS = 2048, 1024
+#: Differing symbols (of 96) up to which a pair of a cluster is confirmed, and up to which stars make clusters. Sets of
+#: similarity 0.85 differ in 14.4 on average, with a standard deviation of 3.5.
+NEAR, WIDE = 33, 40
+#: Rows of one block when a key or a cluster is gone through in blocks, and pairs of one leader checked together.
+BLOCK, TEXT_BLOCK, SALT_ROWS = 2048, 512, 1024
 
 
 @dataclass(frozen=True)
@@ -199,8 +203,8 @@ def members(nodes: DataFrame) -> DataFrame:
     return _keys(nodes).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, node long")
 
 
-def _closest(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: for each b the a whose signature is closest (then the smaller a)."""
+def _stars(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, d: the pairs with their number of differing symbols; pairs of very unequal sizes are left out."""
     slim = nodes.select("node", "sig", "n")
     both = pairs.join(slim.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(slim.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
 
@@ -209,8 +213,75 @@ def _closest(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x != y).sum(1), pa.int64())], names=["a", "b", "d"])
 
-    far = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 50).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d long")
-    return far.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a")).select("a", "b")
+    return both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 50).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d long")
+
+
+def _closest(stars: DataFrame) -> DataFrame:
+    """a, b: for each b the a whose signature is closest (then the smaller a)."""
+    return stars.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a")).select("a", "b")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(y) else 0
+
+
+def _within(nodes: DataFrame, clusters: DataFrame, labels: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: links between different components of one cluster, confirmed block against block."""
+    all_ = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()).select("node", F.col("component").alias("cluster"))
+    own = labels.select("node", F.col("component").alias("c"))
+    placed = cut(all_.join(own, "node", "left").select("cluster", "node", F.coalesce("c", "node").alias("c")), "clusters")
+    open_ = placed.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("cluster", F.ceil(F.col("k") / TEXT_BLOCK).cast("int").alias("nb"))
+    rows = placed.join(open_, "cluster").join(nodes.select("node", "sig"), "node").join(texts, "node")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "c", "sig", "text")
+    percent = rule.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(rule)
+        for g in _groups((p for b in batches for p in (b.slice(at, 1024) for at in range(0, b.num_rows, 1024))), 3):
+            lo, hi, i, node, c = (g.column(k).to_numpy() for k in range(1, 6))
+            sig = np.frombuffer(b"".join(g.column(6).to_pylist()), "<u2").reshape(len(node), -1)
+            sets: dict[int, np.ndarray] = {}
+            top = {x: x for x in c.tolist()}
+
+            def root(x: int, top=top) -> int:
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            def of(k: int, sets=sets, g=g) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingler(g.column(7)[k].as_py())
+                return sets[k]
+
+            one = i == lo[0]
+            left = np.flatnonzero(one)
+            right = left if lo[0] == hi[0] else np.flatnonzero(~one)
+            links = []
+            for p in left.tolist():
+                q = right[right > p] if lo[0] == hi[0] else right
+                q = q[c[q] != c[p]]
+                if not len(q):
+                    continue
+                d = (sig[q] != sig[p]).sum(1)
+                for k in q[d <= NEAR][np.argsort(d[d <= NEAR], kind="stable")].tolist():
+                    x, y = root(int(c[p])), root(int(c[k]))
+                    if x == y:
+                        continue
+                    m, n = of(p), of(k)
+                    if 100 * min(len(m), len(n)) < percent * max(len(m), len(n)):
+                        continue
+                    common = _shared(m, n)
+                    if 100 * common >= percent * (len(m) + len(n) - common):
+                        top[max(x, y)] = min(x, y)
+                        links.append((int(node[p]), int(node[k])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -234,7 +305,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                         sets.append(s)
                         continue
                     for x in sets:
-                        common = len(np.intersect1d(x, s, assume_unique=True))
+                        common = _shared(x, s)
                         if 100 * common >= percent * (len(x) + len(s) - common):
                             got.append((a, b))
                             break
@@ -266,7 +337,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(held: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """a < b: pairs that share a key, lie in different components and have close signatures."""
+    """a < b: pairs that share a key, lie in different clusters and have close signatures."""
     labelled = held.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     labelled = cut(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
@@ -316,10 +387,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) ->
     pairs = held.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     wanted = held.select("node").distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").join(wanted, "node", "left_semi"), "texts")
-    links = cut(confirmed(_closest(pairs, nodes), texts, rule), "links")
-    labels = components(links)
-    more = cut(confirmed(_across(held, nodes, labels), texts, rule), "links")
-    labels = components(links.unionByName(more))
+    stars = cut(_stars(pairs, nodes), "stars")
+    links = cut(confirmed(_closest(stars), texts, rule), "links")
+    labels, clusters = components(links), components(stars.filter(F.col("d") <= WIDE))
+    inside = cut(_within(nodes, clusters, labels, texts, rule), "links")
+    across = cut(confirmed(_across(held, nodes, clusters), texts, rule), "links")
+    labels = components(links.unionByName(inside).unionByName(across))
     found = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     done = sketched.join(found, ["s1", "s2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).when(F.col("doc_id").isNotNull(), F.col("component"))
