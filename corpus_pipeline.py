@@ -13,6 +13,9 @@ from tessera.llm import decontamination, line_dedup, near_dedup, quality_rules,
 from tessera.llm.common import cut, read
 from tessera.llm.queries import tokenizer_path
 
+#: Near-duplicates of the pipeline share 0.8 of their word shingles (op7_near_dedup has a contract of its own: 0.85).
+NEAR_PERCENT = 80
+
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
@@ -30,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near_dedup.keep_one(docs).select(*docs.columns)
+    return near_dedup.keep_one(docs, rule=near_dedup.Rule(percent=NEAR_PERCENT)).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

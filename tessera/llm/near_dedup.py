@@ -2,10 +2,10 @@
 
 1. *Sketch.* A document's set is its distinct shingles of ``SHINGLE`` words (64-bit hashes). Its signature has
    ``CHUNKS * SIZE`` MinHash symbols of 16 bits. Documents with one and the same set become one node.
-2. *Multi-index.* Signatures are cut into CHUNKS chunks. Two signatures that differ in at most
-   ``CHUNKS * (ERRORS + 1) - 1`` symbols have, by pigeonhole, a chunk with at most ERRORS = 1 differing symbols; so each
-   chunk is filed under every key that masks one of its symbols, and such a pair shares a key. (For sets of similarity
-   0.85 the chance to share none is below 3 in a million.)
+2. *Multi-index.* Signatures are cut into chunks. Two signatures that differ in at most
+   ``chunks * (ERRORS + 1) - 1`` symbols have, by pigeonhole, a chunk with at most ERRORS = 1 differing symbols; so each
+   chunk is filed under every key that masks one of its symbols, and such a pair shares a key. The rule's percent decides
+   the chunks' size (see ``layout``): sets just similar enough share no key with a chance of at most 3 in a million.
 3. *Links.* Within a key each node is paired with the smallest node only. Of these pairs each node first tries the one
    with the closest signature, confirmed on full sets, and components are formed; and all pairs with close signatures
    make coarser clusters. A cluster that still holds several components is gone through in blocks: nodes of different
@@ -24,6 +24,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,12 +43,8 @@ _RNG = np.random.default_rng(20240607)
 _ODD = lambda *shape: _RNG.integers(0, 2**63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL, _XOR, _KEY, _MASK = _ODD(CHUNKS * SIZE), _ODD(CHUNKS * SIZE), _ODD(CHUNKS, SIZE), _ODD(CHUNKS, SIZE)
 _PLACE = _ODD(64)
-#: Differing 2-bit symbols (of 96) up to which a pair is confirmed on full sets: sets of similarity 0.85 differ in
-#: 10.8 on average, with a standard deviation of 3.1.
-CLOSE = 28
-#: Differing symbols (of 96) up to which a pair of a cluster is confirmed, and up to which stars make clusters. Sets of
-#: similarity 0.85 differ in 14.4 on average, with a standard deviation of 3.5.
-NEAR, WIDE = 33, 40
+#: Chances for sets just similar enough: to share no key, and to be beyond the close or near limit.
+MISS_KEY, MISS_NEAR = 3e-6, 1e-6
 #: Rows of one block when a key or a cluster is gone through in blocks, and pairs of one leader checked together.
 BLOCK, TEXT_BLOCK, SALT_ROWS = 2048, 512, 1024
 
@@ -60,6 +57,37 @@ class Rule:
     percent: int = PERCENT
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Symbols of a chunk, and the differing symbols (of CHUNKS * SIZE) up to which pairs are looked at.
+
+    ``close``: differing 2-bit symbols up to which a pair that only shares a key is confirmed on full sets. ``near``:
+    differing symbols up to which a pair of a cluster is confirmed. ``wide``: those up to which stars make clusters; pairs
+    beyond it are not lost, as they share a key across clusters.
+    """
+
+    size: int
+    close: int
+    near: int
+    wide: int
+
+
+def _beyond(chance: float, limit: int, n: int) -> float:
+    """Chance of more than ``limit`` of ``n`` symbols to differ if each does with ``chance``."""
+    return math.fsum(math.comb(n, k) * chance**k * (1 - chance) ** (n - k) for k in range(limit + 1, n + 1))
+
+
+def layout(percent: int) -> Layout:
+    """The largest chunks and smallest limits that lose at most MISS_KEY and MISS_NEAR of the pairs at ``percent``."""
+    n, differ = CHUNKS * SIZE, 1 - percent / 100
+    sizes = (k for k in range(min(n // 2, SIZE), 1, -1) if n % k == 0 and _beyond(differ, 1, k) ** (n // k) <= MISS_KEY)
+    size = next(sizes, None)
+    if size is None:
+        raise ValueError(f"no chunks of {n} symbols find pairs of {percent} percent")
+    near, close = (next(k for k in range(n + 1) if _beyond(x, k, n) <= MISS_NEAR) for x in (differ, 0.75 * differ))
+    return Layout(size, close, near, near + 7)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finisher."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -102,11 +130,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(48)).astype("<u2")
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """For each signature (a row) its CHUNKS * SIZE keys, each without one symbol of one chunk."""
-    s = signatures.reshape(-1, CHUNKS, SIZE).astype(np.uint64) + np.uint64(1)
-    terms = s * _KEY
-    return mix(terms.sum(2, keepdims=True, dtype=np.uint64) - terms + _MASK).reshape(len(s), -1)
+def chunk_keys(signatures: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """For each signature (a row) its CHUNKS * SIZE keys, each without one symbol of one chunk of ``size``."""
+    s = signatures.reshape(-1, CHUNKS * SIZE // size, size).astype(np.uint64) + np.uint64(1)
+    terms = s * _KEY.reshape(-1, size)
+    return mix(terms.sum(2, keepdims=True, dtype=np.uint64) - terms + _MASK.reshape(-1, size)).reshape(len(s), -1)
 
 
 def two_bits(signatures: np.ndarray) -> np.ndarray:
@@ -138,13 +166,13 @@ def sketches(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     return map_lists(docs.select("doc_id", F.col(f"`{text}`").alias("text")), make, f"doc_id {kind}, s1 long, s2 long, n_shingles long, sig binary")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, size: int) -> DataFrame:
     """key, node: every node under all its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            keys = chunk_keys(sig)
+            keys = chunk_keys(sig, size)
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view("<i8")), pa.array(ids, pa.int64())], names=["key", "node"])
 
@@ -176,7 +204,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def members(nodes: DataFrame) -> DataFrame:
+def members(nodes: DataFrame, size: int = SIZE) -> DataFrame:
     """key, leader, node of keys with two nodes or more. Rows stream by in key order: a large key needs no memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +228,10 @@ def members(nodes: DataFrame) -> DataFrame:
             if len(ks):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ks, ls, ns)], names=["key", "leader", "node"])
 
-    return _keys(nodes).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, node long")
+    return _keys(nodes, size).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, node long")
 
 
-def _stars(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _stars(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """a, b, d: the pairs with their number of differing symbols; pairs of very unequal sizes are left out."""
     slim = nodes.select("node", "sig", "n")
     both = pairs.join(slim.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(slim.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
@@ -213,7 +241,7 @@ def _stars(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x != y).sum(1), pa.int64())], names=["a", "b", "d"])
 
-    return both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 50).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d long")
+    return both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, d long")
 
 
 def _closest(stars: DataFrame) -> DataFrame:
@@ -237,7 +265,7 @@ def _within(nodes: DataFrame, clusters: DataFrame, labels: DataFrame, texts: Dat
     rows = placed.join(open_, "cluster").join(nodes.select("node", "sig"), "node").join(texts, "node")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "c", "sig", "text")
-    percent = rule.percent
+    percent, near = rule.percent, layout(rule.percent).near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule)
@@ -267,7 +295,7 @@ def _within(nodes: DataFrame, clusters: DataFrame, labels: DataFrame, texts: Dat
                 if not len(q):
                     continue
                 d = (sig[q] != sig[p]).sum(1)
-                for k in q[d <= NEAR][np.argsort(d[d <= NEAR], kind="stable")].tolist():
+                for k in q[d <= near][np.argsort(d[d <= near], kind="stable")].tolist():
                     x, y = root(int(c[p])), root(int(c[k]))
                     if x == y:
                         continue
@@ -336,7 +364,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _across(held: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _across(held: DataFrame, nodes: DataFrame, labels: DataFrame, close: int) -> DataFrame:
     """a < b: pairs that share a key, lie in different clusters and have close signatures."""
     labelled = held.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     labelled = cut(labelled, "labelled")
@@ -363,7 +391,7 @@ def _across(held: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
                 q = q[c[q] != c[p]]
                 if len(q):
                     d = np.bitwise_count((low[q] ^ low[p]) | (high[q] ^ high[p])).sum(1)
-                    q = q[d <= CLOSE]
+                    q = q[d <= close]
                 if len(q):
                     a, b = np.minimum(node[q], node[p]), np.maximum(node[q], node[p])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -380,18 +408,19 @@ def _bits(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``. doc_id must be an integer."""
+    limits = layout(rule.percent)
     sketched = cut(sketches(docs, text, rule), "sketches")
     named = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = cut(named.groupBy("s1", "s2").agg(F.min("doc_id").cast("long").alias("node"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes")
-    held = cut(members(nodes), "members")
+    held = cut(members(nodes, limits.size), "members")
     pairs = held.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     wanted = held.select("node").distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").join(wanted, "node", "left_semi"), "texts")
-    stars = cut(_stars(pairs, nodes), "stars")
+    stars = cut(_stars(pairs, nodes, min(50, rule.percent)), "stars")
     links = cut(confirmed(_closest(stars), texts, rule), "links")
-    labels, clusters = components(links), components(stars.filter(F.col("d") <= WIDE))
+    labels, clusters = components(links), components(stars.filter(F.col("d") <= limits.wide))
     inside = cut(_within(nodes, clusters, labels, texts, rule), "links")
-    across = cut(confirmed(_across(held, nodes, clusters), texts, rule), "links")
+    across = cut(confirmed(_across(held, nodes, clusters, limits.close), texts, rule), "links")
     labels = components(links.unionByName(inside).unionByName(across))
     found = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     done = sketched.join(found, ["s1", "s2"], "left")

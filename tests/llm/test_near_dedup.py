@@ -70,3 +70,20 @@ def test_keys_meet_by_pigeonhole():
         row[rng.choice(len(row), nd.CHUNKS * 2 - 1, replace=False)] ^= 1
     ka, kb = nd.chunk_keys(a), nd.chunk_keys(b)
     assert all(set(x) & set(y) for x, y in zip(ka.tolist(), kb.tolist()))
+
+
+@pytest.mark.parametrize("percent", [85, 80, 70, 50])
+def test_layout_follows_percent(percent):
+    """Pairs of just that similarity share a key and lie within the limits; 0.85 keeps what op7 was built with."""
+    assert nd.layout(85) == nd.Layout(nd.SIZE, 28, 33, 40)
+    limits, rng, n = nd.layout(percent), np.random.default_rng(percent), 20_000
+    a = rng.integers(0, 65536, (n, nd.CHUNKS * nd.SIZE)).astype("<u2")
+    b = np.where(rng.random(a.shape) < percent / 100, a, rng.integers(0, 65536, a.shape)).astype("<u2")
+    ka, kb = nd.chunk_keys(a, limits.size), nd.chunk_keys(b, limits.size)
+    assert (ka == kb).any(1).all()
+    assert ((a != b).sum(1) <= limits.near).all() and ((a & 3 != b & 3).sum(1) <= limits.close).all()
+
+
+def test_percent_without_a_layout_is_an_error():
+    with pytest.raises(ValueError):
+        nd.layout(5)
