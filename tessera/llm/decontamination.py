@@ -26,6 +26,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessera.llm.common import FOLD, map_lists
 
@@ -209,6 +210,17 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     return merged.select("doc_id", "text", "n_words", F.col("_spans.starts").alias("starts"), F.col("_spans.ends").alias("ends"), "items")
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal spans, ascending; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text less the characters from the first to the last word of each span."""
     at = [m.span() for m in WORD.finditer(text.translate(FOLD))]
@@ -243,29 +255,41 @@ def document_hits(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """The kept rows of ``docs`` with contaminated spans cut out of ``text``; all columns stay. One pass, no shuffle, for one block."""
-    automata = list(_blocks(benchmark, text, window, BLOCK_WORDS))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The kept rows of ``docs`` with contaminated spans cut out of ``text``; all columns stay. No shuffle.
+
+    One pass a block. All passes read the uncut text and hand on the spans found so far; the last one judges and cuts.
+    """
     schema, at = docs.schema, docs.columns.index(text)
-    for automaton in automata:
+    carried = StructType([*schema.fields, StructField("_spans", ArrayType(ArrayType(IntegerType())))])
+    blocks = _blocks(benchmark, text, window, block_words)
+    automaton, first = next(blocks), True
+    while automaton is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=first, last=following is None):
             import pyarrow as pa
 
             a = shared.value
             for batch in batches:
-                texts, keep = [], []
-                for t in batch.column(at).to_pylist():
-                    words = words_of(t)
-                    spans, _ = a.scan(words)
-                    keep.append(sum(y - x for x, y in spans) <= max_coverage * len(words))
-                    texts.append(_without(t, [s for s in spans if s[1] - s[0] >= min_span] or spans) if spans else t)
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, type=batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, type=pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
+                texts = batch.column(at).to_pylist()
+                words = [words_of(t) for t in texts]
+                spans = [a.scan(w)[0] for w in words]
+                if not first:
+                    spans = [merged_spans([*map(tuple, old), *new]) for old, new in zip(batch.column(len(schema)).to_pylist(), spans)]
+                columns = list(batch.columns[: len(schema)])
+                if not last:
+                    names = [*schema.names, "_spans"]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32())))], names=names)
+                    continue
+                keep = [sum(y - x for x, y in s) <= max_coverage * len(w) for s, w in zip(spans, words)]
+                kind = batch.schema.field(at).type
+                columns[at] = pa.array([_without(t, [s for s in x if s[1] - s[0] >= min_span] or x) if x else t for t, x in zip(texts, spans)], type=kind)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, type=pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema if following is None else carried)
+        automaton, first = following, False
     return docs
 
 

@@ -119,3 +119,19 @@ def test_decontaminated_texts(spark):
     assert full[0] == (12, True) and full[1] == (12, False) and full[5] == (2, True)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(table, empty).count() == len(texts) and dc.hit_spans(docs(spark, []), bench).count() == 0
+
+
+def test_decontaminated_texts_do_not_depend_on_blocks(spark):
+    """Coverage is judged over all blocks, and spans of two blocks may overlap or meet."""
+    say = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = say("a", 30), say("b", 30)
+    chain = [*one[15:], *two[:15]]  # overlaps what is cut for the first block
+    bench = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(chain))], "item_id long, text string")
+    filler = say("f", 40)
+    texts = [[*one, *filler, *two], [*say("g", 30), *one, *say("h", 30), *two, *say("i", 30)], [*filler, *one, *two, *filler], [*say("p", 90), *one[:15], *two[:15]], [*say("q", 90), *two[:6], *one, *two[6:12]], filler]
+    table = docs(spark, [*map(" ".join, texts), None, ""])
+    small, whole = ({r.doc_id: r.text for r in dc.decontaminate(table, bench, block_words=n).collect()} for n in (30, 200_000))
+    assert small == whole
+    assert 0 not in whole and whole[5] == " ".join(filler) and whole[1].split() == [*say("g", 30), *say("h", 30), *say("i", 30)]
+    assert whole[4].split() == [*say("q", 90), *two[:6], *two[6:12]]
+    assert dc.decontaminate(table, bench, block_words=30).columns == table.columns
