@@ -231,17 +231,17 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[pos:]
 
 
-def cleaned_texts(spans: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """hit_spans plus n_hit, ``clean`` (text less spans of at least ``min_span`` words) and ``kept``.
+def cleaned_texts(spans: DataFrame, max_coverage: float = 0.5) -> DataFrame:
+    """hit_spans plus n_hit, ``clean`` (text less all hit spans) and ``kept``.
 
-    A document is not kept if more than ``max_coverage`` of its words are hit. Items shorter than ``min_span`` are
-    removed whole as well if their span is all there is to remove; a span's length is not held against them.
+    A document is not kept if more than ``max_coverage`` of its words are hit. Every hit span goes: it has a window's
+    length at least, or it covers a whole item that is shorter.
     """
 
     def make():
         def fn(ids, texts, n, lo, hi, items):
             hit = [sum(b - a for a, b in zip(x, y)) for x, y in zip(lo, hi)]
-            clean = [t if not x or t is None else _without(t, [(a, b) for a, b in zip(x, y) if b - a >= min_span] or list(zip(x, y))) for t, x, y in zip(texts, lo, hi)]
+            clean = [t if not x or t is None else _without(t, list(zip(x, y))) for t, x, y in zip(texts, lo, hi)]
             return ids, texts, n, lo, hi, items, hit, clean, [h <= max_coverage * k for h, k in zip(hit, n)]
 
         return fn
@@ -255,7 +255,7 @@ def document_hits(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The kept rows of ``docs`` with contaminated spans cut out of ``text``; all columns stay. No shuffle.
 
     One pass a block. All passes read the uncut text and hand on the spans found so far; the last one judges and cuts.
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     continue
                 keep = [sum(y - x for x, y in s) <= max_coverage * len(w) for s, w in zip(spans, words)]
                 kind = batch.schema.field(at).type
-                columns[at] = pa.array([_without(t, [s for s in x if s[1] - s[0] >= min_span] or x) if x else t for t, x in zip(texts, spans)], type=kind)
+                columns[at] = pa.array([_without(t, x) if x else t for t, x in zip(texts, spans)], type=kind)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, type=pa.bool_()))
 
         docs = docs.mapInArrow(run, schema if following is None else carried)

@@ -135,3 +135,13 @@ def test_decontaminated_texts_do_not_depend_on_blocks(spark):
     assert 0 not in whole and whole[5] == " ".join(filler) and whole[1].split() == [*say("g", 30), *say("h", 30), *say("i", 30)]
     assert whole[4].split() == [*say("q", 90), *two[:6], *two[6:12]]
     assert dc.decontaminate(table, bench, block_words=30).columns == table.columns
+
+
+def test_short_items_go_from_documents_with_long_passages(spark):
+    item, filler = " ".join(f"item{i}" for i in range(12)), " ".join(f"f{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item), (2, "short one")], "item_id long, text string")
+    table = docs(spark, [f"{filler} {item} {filler} Short, one {filler}", f"{filler} short one {filler}"])
+    want = {0: f"{filler}  {filler}  {filler}", 1: f"{filler}  {filler}"}
+    for words in (200_000, 5):
+        assert {r.doc_id: r.text for r in dc.decontaminate(table, bench, block_words=words).collect()} == want
+    assert {r.doc_id: r.clean for r in dc.cleaned_texts(dc.hit_spans(table, bench)).collect()} == want
