@@ -654,15 +654,18 @@ def q45_focal_loss(spark, d):
 
 
 def _rows(spark, d):
-    """Embeddings of classes 0 to 3 as id, cls, fold, y, vec."""
-    return c.embedding_rows(spark, d).filter("cls IN ('0', '1', '2', '3')").withColumn("y", F.col("cls").cast("double"))
+    """All labelled embeddings as id, cls, fold, y (place of the label among those present), vec; and the labels."""
+    rows = c.embedding_rows(spark, d).filter("cls IS NOT NULL")
+    labels = sorted((r.cls for r in rows.select("cls").distinct().collect()), key=lambda x: (len(x), x))  # one row a class
+    return rows.withColumn("y", (F.array_position(F.array(*map(F.lit, labels)), F.col("cls")) - 1).cast("double")), labels
 
 
 def _cv(spark, d, name, **more):
     from tessera.operators.models import cross_validate
 
-    preds = cross_validate(_rows(spark, d).withColumn("fold", F.col("fold") % 2), name, 2, c.CONFIG.seed, **more)
-    return rounded(fold_summaries(preds, "fold"), *metrics.METRICS)
+    rows, labels = _rows(spark, d)
+    preds = cross_validate(rows.withColumn("fold", F.col("fold") % 2), name, 2, c.CONFIG.seed, **more)
+    return rounded(metrics.summary(metrics.class_metrics(metrics.confusion(preds, len(labels), "fold"), "fold"), "fold"), *metrics.METRICS)
 
 
 @query()
@@ -700,7 +703,7 @@ def q45_pca(spark, d):
 def _search(spark, d, name):
     from tessera.operators import selection
 
-    rows = written(_rows(spark, d).select("id", "cls", "vec").repartition(8))
+    rows = written(_rows(spark, d)[0].select("id", "cls", "vec").repartition(8))
     fitness = selection.mask_fitness(rows, "vec", 64)
     run = {"ga": lambda: selection.select_ga(fitness, 64, c.CONFIG.seed, 8, 4), "bda": lambda: selection.select_bda(fitness, 64, c.CONFIG.seed, 8, 4)}[name]
     mask, history = run()
@@ -726,7 +729,7 @@ def q46_rfe_select(spark, d):
 
     from tessera.operators.selection import select_rfe
 
-    rows = written(_rows(spark, d).select("y", F.col("vec").cast("array<double>").alias("vec")))
+    rows = written(_rows(spark, d)[0].select("y", F.col("vec").cast("array<double>").alias("vec")))
 
     def weights(mask):
         places = F.array(*[F.lit(int(i)) for i in np.flatnonzero(mask)])
