@@ -660,17 +660,17 @@ def _rows(spark, d):
     return rows.withColumn("y", (F.array_position(F.array(*map(F.lit, labels)), F.col("cls")) - 1).cast("double")), labels
 
 
-def _cv(spark, d, name, **more):
+def _cv(spark, d, name):
     from tessera.operators.models import cross_validate
 
     rows, labels = _rows(spark, d)
-    preds = cross_validate(rows.withColumn("fold", F.col("fold") % 2), name, 2, c.CONFIG.seed, **more)
+    preds = cross_validate(rows, name, c.CONFIG.folds, c.CONFIG.seed)
     return rounded(metrics.summary(metrics.class_metrics(metrics.confusion(preds, len(labels), "fold"), "fold"), "fold"), *metrics.METRICS)
 
 
 @query()
 def q45_rf_cv(spark, d):
-    return _cv(spark, d, "random_forest", trees=10, depth=5)
+    return _cv(spark, d, "random_forest")
 
 
 @query()
@@ -696,7 +696,7 @@ def q45_calibrators(spark, d):
 def q45_pca(spark, d):
     from tessera.operators.models import fold_safe_pca
 
-    out = fold_safe_pca(c.embedding_rows(spark, d), "vec", 8, 64)
+    out = fold_safe_pca(c.embedding_rows(spark, d), "vec", c.CONFIG.max_pca, 64)
     return out.select("id", F.size("reduced").alias("dim"), F.round(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
@@ -705,7 +705,7 @@ def _search(spark, d, name):
 
     rows = written(_rows(spark, d)[0].select("id", "cls", "vec").repartition(8))
     fitness = selection.mask_fitness(rows, "vec", 64)
-    run = {"ga": lambda: selection.select_ga(fitness, 64, c.CONFIG.seed, 8, 4), "bda": lambda: selection.select_bda(fitness, 64, c.CONFIG.seed, 8, 4)}[name]
+    run = {"ga": lambda: selection.select_ga(fitness, 64, c.CONFIG.seed), "bda": lambda: selection.select_bda(fitness, 64, c.CONFIG.seed)}[name]
     mask, history = run()
     return spark.createDataFrame([(i, bool(b), float(history[-1])) for i, b in enumerate(mask)], "pos int, selected boolean, best_fitness double")
 

@@ -52,3 +52,23 @@ def test_elimination_gets_all_rows(spark, monkeypatch):
     sizes = []
     catalogue.QUERIES["q46_rfe_select"](spark, SF).collect()
     assert sizes == [(table(spark).count(), 10)]
+
+
+@pytest.mark.parametrize("name", ["q45_rf_cv", "q45_lr_cv"])
+def test_cross_validation_is_the_operators_own(spark, seen, name):
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    assert seen["cv"]["folds"] == list(range(c.CONFIG.folds)) and seen["cv"]["n_folds"] == c.CONFIG.folds == len(rows)
+    assert seen["cv"]["more"] == {}
+
+
+@pytest.mark.parametrize("name", ["q46_ga_select", "q46_bda_select"])
+def test_searches_are_the_operators_own(spark, seen, monkeypatch, name):
+    """20 masks, 30 rounds after the first population."""
+    sizes = []
+    monkeypatch.setattr(selection, "mask_fitness", lambda *a, **k: lambda population: sizes.append(len(population)) or population.mean(1))
+    catalogue.QUERIES[name](spark, SF).collect()
+    assert sizes == [20] * 31
+
+
+def test_pca_keeps_what_the_configuration_says(spark):
+    assert {r.dim for r in catalogue.QUERIES["q45_pca"](spark, SF).collect()} == {c.CONFIG.max_pca}
