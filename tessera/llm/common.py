@@ -21,6 +21,31 @@ FOLD = str.maketrans(UPPER, LOWER)
 ROWS = 256
 
 
+class Memory(dict):
+    """Values by key, made when first asked for. Two generations bound it: a full younger one becomes the elder, whose
+    entries come back on use. Keys over LONGEST characters are made anew each time."""
+
+    LONGEST = 64
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.elder = make, size, {}
+
+    def __missing__(self, key):
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.size:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
