@@ -16,16 +16,20 @@
 
 Nothing about documents is collected to the driver but counts and checksums.
 
+Nodes are sets, not doc_ids: they are numbered in order of their smallest doc_id, so the smallest node of a component has
+its smallest doc_id, and two texts under one doc_id are two nodes.
+
 Defined results: null or empty text, or text of white space, has an empty set and no links; fewer words than a shingle
 are one shingle of all words; repeated rows are exact copies; rows with a null doc_id cannot be named and stay
-unlinked (component_id null, kept); if one doc_id has several texts, each row is linked by its own text; an empty table
-gives an empty table.
+unlinked (component_id null, kept); if one doc_id has several texts, each row is linked by its own text, and
+``keep_one`` drops the row, not the doc_id; a doc_id of a type other than an integer is a TypeError; a text of any length
+is read whole; columns other than doc_id and the text are carried along by ``keep_one`` whatever their names, and left out
+elsewhere; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import FOLD, ROWS, cut, map_lists
+from tessera.llm.common import ROWS, cut, map_lists
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, SIZE = 12, 8
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RNG = np.random.default_rng(20240607)
 _ODD = lambda *shape: _RNG.integers(0, 2**63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL, _XOR, _KEY, _MASK = _ODD(CHUNKS * SIZE), _ODD(CHUNKS * SIZE), _ODD(CHUNKS, SIZE), _ODD(CHUNKS, SIZE)
@@ -95,6 +99,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in UTF-8: white space and letters of bytes are just those."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts; remembers word hashes within bounds."""
 
@@ -102,16 +111,16 @@ class Shingler:
         from xxhash import xxh3_64_intdigest
 
         class Words(dict):
-            def __missing__(self, w: str) -> int:
+            def __missing__(self, w: bytes) -> int:
                 if len(self) >= memory:
                     self.clear()
-                h = self[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = self[w] = xxh3_64_intdigest(w)
                 return h
 
         self.rule, self.words = rule, Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = WORD.findall(text.translate(FOLD)) if text else []
+        found = words_of(text)
         w = np.fromiter(map(self.words.__getitem__, found), np.uint64, len(found))
         k = min(self.rule.shingle, len(w))
         if not k:
@@ -144,7 +153,7 @@ def two_bits(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
-    """doc_id, s1, s2 (128-bit hash of the set), n_shingles, signature."""
+    """doc_id, t (hash of the text), s1, s2 (128-bit hash of the set), n_shingles, signature."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -152,18 +161,19 @@ def sketches(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
 
         shingler = Shingler(rule)
 
-        def fn(ids, texts):
+        def fn(ids, hashes, texts):
             keys, n, sig = [], [], []
             for t in texts:
                 s = shingler(t)
                 keys.append(np.frombuffer(xxh3_128_digest(s.tobytes()), "<i8"))
                 n.append(len(s))
                 sig.append(signature(s).tobytes())
-            return ids, [int(k[0]) for k in keys], [int(k[1]) for k in keys], n, sig
+            return ids, hashes, [int(k[0]) for k in keys], [int(k[1]) for k in keys], n, sig
 
         return fn
 
-    return map_lists(docs.select("doc_id", F.col(f"`{text}`").alias("text")), make, f"doc_id {kind}, s1 long, s2 long, n_shingles long, sig binary")
+    body = F.col(f"`{text}`")
+    return map_lists(docs.select("doc_id", F.xxhash64(body).alias("t"), body.alias("text")), make, f"doc_id {kind}, t long, s1 long, s2 long, n_shingles long, sig binary")
 
 
 def _keys(nodes: DataFrame, size: int) -> DataFrame:
@@ -343,7 +353,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable), of all nodes with links other than the smallest of each component."""
+    """node, component (smallest node reachable), of all nodes with links other than the smallest of each component.
+
+    Smallest neighbours are dealt out anew before they are joined, so that the join's sides are plain exchanges: a hub's
+    edges are then split over tasks by adaptive execution.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -352,9 +367,9 @@ def components(links: DataFrame) -> DataFrame:
     was = state(edges)
     while was[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = cut(small, "edges")
         now = state(edges)
@@ -406,29 +421,45 @@ def _bits(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return words[:, :12], words[:, 12:]
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of ``docs``. doc_id must be an integer."""
+def _labelled(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id, chosen (whether doc_id and text are the component's own)."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     limits = layout(rule.percent)
     sketched = cut(sketches(docs, text, rule), "sketches")
     named = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = cut(named.groupBy("s1", "s2").agg(F.min("doc_id").cast("long").alias("node"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes")
+    sets = named.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "t")).alias("row"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")).select("row.doc_id", "row.t", "s1", "s2", "n", "sig")
+    order = ["doc_id", "s1", "s2"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = cut(sets.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "nodes")
     held = cut(members(nodes, limits.size), "members")
     pairs = held.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = held.select("node").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL").join(wanted, "node", "left_semi"), "texts")
+    wanted = held.select("node").distinct().join(nodes.select("node", "doc_id", "t"), "node")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+    texts = cut(source.join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("node", "text"), "texts")
     stars = cut(_stars(pairs, nodes, min(50, rule.percent)), "stars")
     links = cut(confirmed(_closest(stars), texts, rule), "links")
     labels, clusters = components(links), components(stars.filter(F.col("d") <= limits.wide))
     inside = cut(_within(nodes, clusters, labels, texts, rule), "links")
     across = cut(confirmed(_across(held, nodes, clusters, limits.close), texts, rule), "links")
     labels = components(links.unionByName(inside).unionByName(across))
-    found = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    first = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"), F.col("t").alias("component_t"))
+    placed = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    found = placed.join(first, "component").drop("component")
     done = sketched.join(found, ["s1", "s2"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).when(F.col("doc_id").isNotNull(), F.col("component"))
-    return done.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id").cast("long")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    chosen = F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")) & (F.col("t") == F.col("component_t"))
+    return done.select("doc_id", "t", "n_shingles", own.alias("component_id"), chosen.alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id): a row for each row of ``docs``."""
+    found = _labelled(docs, text, rule)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """The documents that stay, one of each component, with all columns; of rows that repeat a kept doc_id each stays."""
-    gone = near_duplicates(docs, text, rule).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows that stay, one text of each component, with all columns; rows that repeat a kept doc_id and text all stay."""
+    gone = _labelled(docs, text, rule).filter("NOT chosen").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct()
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_t"))
+    return kept.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_t") == F.col("gone_t")), "left_anti").select("row.*")

@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut.
 
-Offline, once a process, the vocabulary is gone through: a vocabulary string counts as *whole* if the tokenizer,
+Offline, once a worker process, the vocabulary is gone through: a vocabulary string counts as *whole* if the tokenizer,
 given that string alone, returns exactly one token. A text is cut into pre-tokens by the tokenizer's own pattern; a
 pre-token found among the whole strings counts 1 without any merging. Only the other pre-tokens are merged, by the
 library, and remembered (a bounded memory: it is emptied when full).
@@ -9,12 +9,13 @@ The shortcut is used for texts whose characters every regular-expression library
 (``UNSURE``) go through the library entirely, so the counts never differ from it. Special strings inside a text are
 cut out first, as the library does by default, and count 1 each.
 
-Defined results: null text is the empty text, with 0 bytes and 0 tokens; every row gives one row; other columns
-are left out; an empty table gives an empty table.
+Defined results: null text is the empty text, with 0 bytes and 0 tokens; every row gives one row, repeated rows and null
+doc_ids too; a text of any length is counted whole; other columns are left out, so none can clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -100,15 +101,21 @@ class Counter:
         return n + sum(sum(map(self.cost.__getitem__, PIECES.findall(part))) for part in parts)
 
 
+@functools.cache
+def counter(path: str) -> Counter:
+    """The counter of a tokenizer file, with its whole strings and what it remembers: once a process."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit. ``path`` must exist on every executor (an installed package's file)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        counter = Counter(path)
+        own = counter(path)
 
         def fn(ids, texts, sizes):
-            return ids, sizes, [counter.count(t) for t in texts]
+            return ids, sizes, [own.count(t) for t in texts]
 
         return fn
 

@@ -14,11 +14,14 @@ Bodies are binary values of a Parquet table in the shared folder, one row a shar
 a lost executor's shards are written again, and any store that Spark reaches will do.
 
 Defined results: null text is the empty text (the end id alone); rows are ordered by (doc_id, hash of the text), nulls
-first, so repeated rows and repeated doc_ids have defined places; an empty table gives no shards.
+first, so repeated rows and repeated doc_ids have defined places; doc_ids may be integers or strings (a table's own type
+comes back from ``read_documents``); a text of any length is one document, whose shard may then be longer than
+``shard_tokens``; columns other than doc_id and the text are left out, so none can clash; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import re
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import ROWS, cut
+from tessera.llm.common import ROWS, Memory, cut
 from tessera.llm.token_counts import UNSURE, byte_letters
 
 END = 2
@@ -54,44 +57,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         info = json.load(open(path, encoding="utf-8"))
         self.specials = [t["content"] for t in info["added_tokens"]]
+        self.hints = {re.match(r"[^A-Za-z]*", s)[0] for s in self.specials}  # what stands in front is alike in either case
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END + 1)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         model, stand_in = self.tokenizer.model, str.maketrans({chr(b): c for c, b in byte_letters().items()})
         find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-        kind = self.kind
-
-        class Memory(dict):
-            elder: dict = {}
-
-            def __missing__(self, key: str) -> bytes:
-                ids = self.elder.get(key)
-                if ids is None:
-                    ids = self.make(key)
-                if len(self) >= memory:
-                    self.elder = dict(self)
-                    self.clear()
-                self[key] = ids
-                return ids
-
-        class Words(Memory):
-            def make(self, word: str) -> bytes:
-                return np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(stand_in))], dtype=kind).tobytes()
-
-        class Runs(Memory):
-            def make(self, run: str, words=Words()) -> bytes:
-                return b"".join([words[w] for w in find(run.lower())])
-
-        self.runs = Runs()
+        words = Memory(lambda word: np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(stand_in))], dtype=self.kind).tobytes(), memory)
+        self.runs = Memory(lambda run: b"".join([words[w] for w in find(run.lower())]), memory)
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids, without an end id."""
         if not text:
             return b""
-        if UNSURE.search(text) or any(s in text.lower() for s in self.specials):
+        if UNSURE.search(text) or any(h in text for h in self.hints) and any(s in text.lower() for s in self.specials):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, with what it remembers: once a process."""
+    return Encoder(path)
+
+
 def _pack(array: np.ndarray) -> bytes:
     import zstandard
 
@@ -110,7 +98,7 @@ def write_shard(doc_ids: list, ids: np.ndarray, starts: np.ndarray, bits: int) -
         ones = np.bitwise_count(padded.view("<u8")).reshape(-1, STEP // 64).sum(1)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
         planes.append((len(v) - int(ranks[-1]), ranks, packed))
-        v = np.concatenate([v[~bit], v[bit]])
+        v = np.concatenate([np.compress(~bit, v), np.compress(bit, v)])
     for zeros, ranks, packed in planes:
         blocks += [_pack(np.array([zeros], "<i8")), _pack(ranks), *(_pack(packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))]
     head = np.array([len(ids), bits, len(doc_ids), CHUNK, len(blocks), *map(len, blocks)], "<i8")
@@ -219,8 +207,8 @@ class Shard:
         for p in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self._bytes(p, 0, -(-self.n // 8)), bitorder="little", count=self.n).view(bool)
             zeros, before = self._zeros(p), np.empty_like(v)
-            before[~bit] = v[:zeros]
-            before[bit] = v[zeros:] | kind.type(1 << (self.bits - 1 - p))
+            before[np.flatnonzero(~bit)] = v[:zeros]
+            before[np.flatnonzero(bit)] = v[zeros:] | kind.type(1 << (self.bits - 1 - p))
             v = before
         return v
 
@@ -238,14 +226,14 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", shard_tokens: i
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
-        bits, part = max(1, int(encoder.size - 1).bit_length()), TaskContext.get().partitionId()
-        end = np.array([END], encoder.kind).tobytes()
+        own = encoder(path)
+        bits, part = max(1, int(own.size - 1).bit_length()), TaskContext.get().partitionId()
+        end = np.array([END], own.kind).tobytes()
         doc_ids, bodies, held, first = [], [], 0, 0
 
         def shard():
-            ids = np.frombuffer(b"".join(bodies), encoder.kind)
-            starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]) // encoder.kind.itemsize
+            ids = np.frombuffer(b"".join(bodies), own.kind)
+            starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]) // own.kind.itemsize
             body = write_shard(doc_ids, ids, starts, bits)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip((part, first, len(ids), len(doc_ids), body), kinds)], names=["part", "first", "n_tokens", "n_docs", "body"])
@@ -254,10 +242,10 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", shard_tokens: i
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
                 for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    b = encoder.encode(t) + end
+                    b = own.encode(t) + end
                     doc_ids.append(d)
                     bodies.append(b)
-                    held += len(b) // encoder.kind.itemsize
+                    held += len(b) // own.kind.itemsize
                     if held >= shard_tokens:
                         yield shard()
                         first, doc_ids, bodies, held = first + held, [], [], 0
@@ -268,7 +256,7 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", shard_tokens: i
 
 
 def read_documents(shards: DataFrame, doc_id: str = "long") -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32, read back from the shards.
+    """doc_id (of the type named), start (ids of all documents before), n_tokens, ids_crc32, read back from the shards.
 
     Only one row a range partition goes through the window that adds up what lies before; partitions are as many as
     shuffle partitions, whatever the input.

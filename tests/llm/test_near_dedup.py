@@ -87,3 +87,31 @@ def test_layout_follows_percent(percent):
 def test_percent_without_a_layout_is_an_error():
     with pytest.raises(ValueError):
         nd.layout(5)
+
+
+def test_several_texts_under_one_doc_id(spark):
+    """Each row goes or stays by its own text; columns with the operator's own names are carried along."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    near = b.replace("b30", "other")
+    table = docs(spark, [b, a, near, c, c + " more", c], ids=[3, 5, 5, 7, 7, 7]).selectExpr("*", "doc_id AS t", "'x' AS node", "'y' AS row")
+    got = {(r.doc_id, r.text) for r in nd.keep_one(table).collect()}
+    assert {x for x in got if x[0] != 7} == {(3, b), (5, a)} and len([x for x in got if x[0] == 7]) == 1
+    assert nd.keep_one(table).columns == table.columns
+    labelled = sorted((r.doc_id, r.component_id) for r in nd.near_duplicates(table).collect())
+    assert labelled == [(3, 3), (5, 3), (5, 5), (7, 7), (7, 7), (7, 7)]
+
+
+def test_doc_ids_that_are_no_integers_are_an_error(spark):
+    with pytest.raises(TypeError):
+        nd.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_words_of_bytes_are_the_rule_s():
+    for t in ["A\x0bB\x1cC\x85 d\u3000É\tf\rg\x0c h\x00", *[t for t in ODD if t]]:
+        assert [w.decode() for w in nd.words_of(t)] == re.findall(r"[^\x20\x09-\x0D]+", t.translate(FOLD))
+
+
+def test_a_very_long_text(spark):
+    t = " ".join(f"w{i}" for i in range(400_000))
+    got = nd.near_duplicates(docs(spark, [t, t + " end", "short"])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in got) == [(0, 0, 399_996), (1, 0, 399_997), (2, 2, 1)]
