@@ -26,6 +26,7 @@ import io
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ END = 2
 SHARD_TOKENS = 1_000_000
 CHUNK = 1 << 16  # bytes of a plane inflated at once
 STEP = 512  # bits between rank samples
-MEMORY = 300_000
+MEMORY = 600_000
 
 
 class Encoder:
@@ -62,8 +63,14 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         model, stand_in = self.tokenizer.model, str.maketrans({chr(b): c for c, b in byte_letters().items()})
         find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-        words = Memory(lambda word: np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(stand_in))], dtype=self.kind).tobytes(), memory)
-        self.runs = Memory(lambda run: b"".join([words[w] for w in find(run.lower())]), memory)
+        kind = "H" if self.kind.itemsize == 2 else "I"
+
+        def merge(word: str) -> bytes:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(stand_in)
+            return array(kind, [t.id for t in model.tokenize(letters)]).tobytes()
+
+        words = Memory(merge, memory // 8)
+        self.runs = Memory(lambda run: merge(run) if run.isalpha() else b"".join([words[w] for w in find(run)]), memory)
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids, without an end id."""
@@ -71,6 +78,11 @@ class Encoder:
             return b""
         if UNSURE.search(text) or any(h in text for h in self.hints) and any(s in text.lower() for s in self.specials):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        text = text.lower()
+        for stop in (", ", ". "):  # after a letter or digit it is a pre-token: set apart, runs that differ in it alone become one
+            parts = text.split(stop)
+            if all([p[-1:].isalnum() for p in parts[:-1]]):
+                text = f" {stop}".join(parts)
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
@@ -80,10 +92,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pack(array: np.ndarray) -> bytes:
+def _pack(block: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(block).tobytes())
 
 
 def write_shard(doc_ids: list, ids: np.ndarray, starts: np.ndarray, bits: int) -> bytes:
