@@ -10,7 +10,7 @@ EPS = 1e-7
 
 def normalize_key(c: Column) -> Column:
     """Trimmed, runs of white space, underscores and hyphens as one underscore, lower case."""
-    return F.lower(F.regexp_replace(F.trim(c), r"[\s_\-]+", "_"))
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"[\s_\-]+", "_"))
 
 
 def id_of_filename(c: Column) -> Column:

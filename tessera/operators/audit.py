@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import UNKNOWN
@@ -22,11 +22,17 @@ def orphans(items: DataFrame, meta: DataFrame, key: str) -> DataFrame:
 
 def distributions(items: DataFrame) -> DataFrame:
     """Counts by split, class, source, split and class, source and class: one pass of grouping sets."""
-    items.createOrReplaceTempView("_audit_items")
-    return items.sparkSession.sql(
-        """SELECT split, cls, source, count(*) AS n FROM _audit_items
-           GROUP BY GROUPING SETS ((split), (cls), (source), (split, cls), (source, cls))"""
-    )
+    sets = [["split"], ["cls"], ["source"], ["split", "cls"], ["source", "cls"]]
+    return items.groupingSets([[F.col(c) for c in s] for s in sets], "split", "cls", "source").agg(F.count("*").alias("n"))
+
+
+def capped(issues: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """place, detail, n: the first ``most`` issues in order of ``key``, and a last row with the number of the others."""
+    first = issues.orderBy(key).limit(most)
+    w = Window.orderBy("detail_")  # over at most ``most`` rows
+    rows = first.select(F.col(key).alias("detail_")).withColumn("place", F.row_number().over(w)).select("place", F.col("detail_").cast("string").alias("detail"), F.lit(1).cast("long").alias("n"))
+    rest = issues.agg(F.greatest(F.lit(0), F.count("*") - most).alias("n")).select(F.lit(most + 1).alias("place"), F.lit("more").alias("detail"), "n")
+    return rows.unionByName(rest)
 
 
 def split_grid(items: DataFrame, splits: DataFrame, classes: DataFrame) -> DataFrame:

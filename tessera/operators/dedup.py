@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -66,27 +68,39 @@ def representatives(hashed: DataFrame, by: list[str]) -> DataFrame:
     return hashed.groupBy(*by, "lo", "hi").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
 
+def agreeing_blocks(n: int, bits: int) -> int:
+    """How many blocks a key has: the fewest whose key tells n hashes apart, six at most."""
+    return next((a for a in range(1, 6) if 64 * a // (bits + a) >= math.log2(max(n, 2)) + 2), 6)
+
+
 def close_pairs(reps: DataFrame, bits: int, within: str | None = None, across: str | None = None) -> DataFrame:
     """a, b, distance: pairs within ``bits`` of each other, equal in ``within`` or different in ``across``.
 
-    By pigeonhole, hashes at most ``bits`` apart agree in one of bits + 1 bands: an equality join on bands, then the test.
-    A pair is taken from the first band that it agrees in, so no distinct step is needed.
+    The hash is cut into bits + k blocks; two hashes at most ``bits`` apart agree in at least k of them (pigeonhole), so each
+    hash is filed under every choice of k blocks: an equality join, then the test. More blocks a key make keys longer
+    than the number of hashes is, so that few pairs meet by chance; k changes the cost, not the result. A pair is taken
+    from the first k blocks in which it agrees, so no distinct step is needed.
     """
-    n = bits + 1
+    k = agreeing_blocks(reps.count(), bits)
+    n = bits + k
     edges = [64 * i // n for i in range(n + 1)]
     word = F.shiftleft(F.col("lo"), 32).bitwiseOR(F.col("hi"))
-    bands = [F.shiftrightunsigned(F.shiftleft(word, a), 64 - (z - a)) for a, z in zip(edges[:-1], edges[1:])]
-    rows = reps.withColumn("_bands", F.array(*bands))
-    flat = rows.select("*", F.posexplode("_bands").alias("_i", "_band"))
+    blocks = [F.shiftrightunsigned(F.shiftleft(word, a), 64 - (z - a)) for a, z in zip(edges[:-1], edges[1:])]
+    choices = [sum(1 << i for i in chosen) for chosen in combinations(range(n), k)]
+    masks = [sum((((1 << (z - a)) - 1) << (64 - z)) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if m >> i & 1) for m in choices]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(c).alias("choice"), word.bitwiseAND(F.lit(m)).alias("key")) for c, m in zip(choices, signed)])
+    flat = reps.select("*", F.array(*blocks).alias("_blocks"), F.explode(keys).alias("_k")).select("*", "_k.choice", "_k.key").drop("_k")
     a, b = flat.alias("a"), flat.alias("b")
-    on = (F.col("a._i") == F.col("b._i")) & (F.col("a._band") == F.col("b._band"))
+    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
     if within:
         on = on & (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.rep") < F.col("b.rep"))
     if across:
         on = on & (F.col(f"a.{across}") < F.col(f"b.{across}"))
     distance = F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo"))) + F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi")))
-    first = F.array_position(F.zip_with("a._bands", "b._bands", lambda x, y: x == y), F.lit(True)) - 1
-    return a.join(b, on).filter((distance <= bits) & (first == F.col("a._i"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.cast("int").alias("distance"))
+    agree = F.filter(F.zip_with(F.zip_with("a._blocks", "b._blocks", lambda x, y: x == y), F.array(*[F.lit(1 << i) for i in range(n)]), lambda same, bit: F.when(same, bit)), lambda x: x.isNotNull())
+    first = F.aggregate(F.slice(agree, 1, k), F.lit(0), lambda s, x: s + x)
+    return a.join(b, on).filter((distance <= bits) & (first == F.col("a.choice"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.cast("int").alias("distance"))
 
 
 def greedy_leaders(pairs: DataFrame, cut) -> DataFrame:

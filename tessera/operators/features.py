@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,17 @@ def slice_map(spark) -> DataFrame:
 
 
 def fuse(branches: dict[str, DataFrame], id_: str, chosen: list[str]) -> DataFrame:
-    """id and ``fused``: the chosen branches' vectors (a DataFrame each: id, vec), joined one to one and concatenated."""
+    """id and ``fused``: the chosen branches' vectors (a DataFrame each: id, vec), joined one to one and concatenated.
+
+    One grouping by id instead of a join a branch. An id that a branch lacks or has twice is an error, raised when the
+    row is read.
+    """
     order = canonical(chosen)
-    out = branches[order[0]].select(id_, F.col("vec").alias(order[0]))
-    for b in order[1:]:
-        out = out.join(branches[b].select(id_, F.col("vec").alias(b)), id_)
-    return out.select(id_, F.concat(*[F.col(b).cast("array<double>") for b in order]).alias("fused"))
+    parts = [branches[b].select(id_, F.lit(i).alias("i"), F.col("vec").cast("array<double>").alias("vec")) for i, b in enumerate(order)]
+    by = reduce(DataFrame.unionByName, parts).groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("i", "vec"))).alias("got"))
+    whole = F.transform("got", lambda x: x["i"]) == F.array(*[F.lit(i) for i in range(len(order))])
+    bad = F.raise_error(F.concat(F.lit("branches missing or repeated for id "), F.coalesce(F.col(id_).cast("string"), F.lit("null")))).cast("array<double>")
+    return by.select(id_, F.when(whole, F.flatten(F.transform("got", lambda x: x["vec"]))).otherwise(bad).alias("fused"))
 
 
 def bad_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
@@ -102,6 +109,40 @@ def jaccard(masks: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.fold") < F.col("b.fold")).select(F.col("a.fold").alias("fold_a"), F.col("b.fold").alias("fold_b"), F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"))
 
 
+def branch_jaccard(masks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """branch, mean_jaccard: mean pairwise Jaccard index of the folds' selections within each branch (two empty ones: 1)."""
+    on = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
+    sets = masks.join(F.broadcast(ranges), on).groupBy("branch", "fold").agg(F.collect_list(F.when(F.col("selected"), F.col("pos"))).alias("s"))
+    a, b = sets.alias("a"), sets.alias("b")
+    both, either = F.size(F.array_intersect("a.s", "b.s")), F.size(F.array_union("a.s", "b.s"))
+    pairs = a.join(b, (F.col("a.branch") == F.col("b.branch")) & (F.col("a.fold") < F.col("b.fold"))).select(F.col("a.branch").alias("branch"), F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"))
+    return ranges.select("branch").join(pairs.groupBy("branch").agg(F.avg("jaccard").alias("j")), "branch", "left").select("branch", F.coalesce("j", F.lit(1.0)).alias("mean_jaccard"))
+
+
+def dimension_stats(masks: DataFrame) -> DataFrame:
+    """mean, population std and, in order of folds, the numbers of selected places."""
+    by = masks.groupBy("fold").agg(F.count_if("selected").alias("n"))
+    per_fold = F.transform(F.array_sort(F.collect_list(F.struct("fold", "n"))), lambda x: x["n"])
+    return by.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.array_join(per_fold, ",").alias("per_fold"))
+
+
+def final_fit(train: DataFrame, vec: str) -> tuple[DataFrame, DataFrame]:
+    """Normaliser (pos, mean, std) of all training rows, and class centres (cls, centre) of the normalised vectors."""
+    stats = column_stats(train, vec)
+    flat = zscore(train.filter("cls IS NOT NULL"), vec, stats).select("cls", F.posexplode("z").alias("pos", "x"))
+    means = flat.groupBy("cls", "pos").agg(F.avg("x").alias("x")).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))
+    return stats, means.select("cls", F.transform("c", lambda x: x["x"]).alias("centre"))
+
+
+def final_scores(held: DataFrame, vec: str, stats: DataFrame, centres: DataFrame) -> DataFrame:
+    """id, y, pred of held-out rows, normalised as the training rows were; the nearest centre, the first label among equals."""
+    packed = centres.agg(F.collect_list(F.struct("cls", "centre")).alias("centres"))  # classes x places numbers
+    z = zscore(held, vec, stats).join(F.broadcast(packed))
+    apart = lambda k: F.round(F.aggregate(F.zip_with("z", k["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 6)
+    nearest = F.array_min(F.transform("centres", lambda k: F.struct(apart(k).alias("d"), k["cls"].alias("cls"))))
+    return z.select("id", F.col("cls").alias("y"), nearest["cls"].alias("pred"))
+
+
 def jaccard_summary(pairs: DataFrame) -> DataFrame:
     """mean, median, min, max; 1 where there are no two masks."""
     one = F.lit(1.0)

@@ -7,6 +7,7 @@ over all masks: sums by (mask, fold side, class) of the masked vectors, from whi
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -91,70 +92,155 @@ def select_rfe(weights: Callable[[np.ndarray], np.ndarray], dim: int, k: int, st
     return mask
 
 
-def _never_empty(population: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """An empty mask gets one random place."""
-    for i in np.flatnonzero(~population.any(1)):
-        population[i, rng.integers(population.shape[1])] = True
-    return population
+#: Fitness of a mask that selects nothing.
+WORST = -1.0
 
 
-def select_ga(fitness: Fitness, dim: int, seed: int, size: int = 20, generations: int = 30, crossover: float = 0.7, mutation: float = 0.05, tournament: int = 3, penalty: float = 0.0) -> tuple[np.ndarray, list[float]]:
-    """Genetic search: tournaments, one-point crossover, bit mutation, the best mask carried over. Returns mask and best fitness by generation."""
+def _scored(fitness: Fitness, population: np.ndarray, penalty: float) -> np.ndarray:
+    """Fitness less ``penalty`` for each selected place; an empty mask is worst."""
+    return np.where(population.any(1), fitness(population) - penalty * population.sum(1), WORST)
+
+
+def tournament(values: np.ndarray, rng: np.random.Generator, size: int) -> int:
+    """The best of ``size`` drawn members, the first drawn among equals."""
+    drawn = rng.integers(0, len(values), size)
+    return int(drawn[values[drawn].argmax()])
+
+
+def select_ga(fitness: Fitness, dim: int, seed: int, size: int = 20, generations: int = 30, crossover: float = 0.7, mutation: float = 0.05, entrants: int = 3, density: float = 0.15, penalty: float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Genetic search: tournaments of ``entrants``, one child of two parents by one-point crossover, bit mutation.
+
+    The first population selects about ``density`` of the places; the best mask so far leads every next one, unmutated.
+    Returns it and the best fitness of each generation.
+    """
     rng = np.random.default_rng(seed)
-    score = lambda p: fitness(p) - penalty * p.mean(1)
-    population = _never_empty(rng.random((size, dim)) < 0.5, rng)
-    values, history = score(population), []
+    population, best, best_value, history = rng.random((size, dim)) < density, np.zeros(dim, bool), -np.inf, []
     for _ in range(generations):
-        children = [population[values.argmax()].copy()]
-        while len(children) < size:
-            a, b = (population[max(rng.integers(0, size, tournament), key=lambda i: values[i])].copy() for _ in range(2))
-            if rng.random() < crossover and dim > 1:
-                cut = int(rng.integers(1, dim))
-                a[cut:], b[cut:] = b[cut:].copy(), a[cut:].copy()
-            for child in (a, b):
-                children.append(child ^ (rng.random(dim) < mutation))
-        population = _never_empty(np.array(children[:size]), rng)
-        values = score(population)
+        values = _scored(fitness, population, penalty)
+        if values.max() > best_value:
+            best, best_value = population[values.argmax()].copy(), float(values.max())
         history.append(float(values.max()))
-    return population[values.argmax()], history
+        children = [best]
+        while len(children) < size:
+            one, two = (population[tournament(values, rng, entrants)] for _ in range(2))
+            at = int(rng.integers(1, dim)) if dim > 1 and rng.random() < crossover else dim
+            children.append(np.append(one[:at], two[at:]) ^ (rng.random(dim) < mutation))
+        population = np.array(children)
+    return best, history
 
 
-def select_bda(fitness: Fitness, dim: int, seed: int, size: int = 20, iterations: int = 30, v_max: float = 6.0, tau: tuple[float, float] = (1.0, 4.0), inertia: tuple[float, float] = (0.9, 0.4), penalty: float = 0.0) -> tuple[np.ndarray, list[float]]:
-    """Binary dragonfly search.
+@dataclass(frozen=True)
+class Pull:
+    """Weights of a swarm's forces in one round."""
 
-    Steps combine separation, alignment, cohesion, attraction to the best and distraction from the worst mask, with
-    inertia falling and the transfer's tau rising over the iterations; bits flip with probability abs(tanh(tau * step)).
-    Empty masks recover one place; the best mask so far is kept in the swarm.
-    """
+    separation: float
+    alignment: float
+    cohesion: float
+    food: float
+    enemy: float
+    inertia: float
+
+
+def pull(done: float, rng: np.random.Generator, inertia: tuple[float, float] = (0.9, 0.4)) -> Pull:
+    """Weights when a share ``done`` of the rounds is over: apart and away from the worst at first, together and to the best later."""
+    early, late = 1.0 - done, done
+    draw = lambda most: most * float(rng.random())
+    return Pull(separation=draw(2) * early, enemy=draw(1) * early, alignment=draw(2) * late, cohesion=draw(2) * late, food=draw(2) * late, inertia=inertia[0] + (inertia[1] - inertia[0]) * done)
+
+
+def swarm_steps(position: np.ndarray, step: np.ndarray, food: np.ndarray, enemy: np.ndarray, by: Pull, v_max: float) -> np.ndarray:
+    """The next step vectors of the whole swarm (members x places)."""
+    x = position.astype(float)
+    members, centre = len(x), x.mean(0)
+    apart = (x - centre) * members / max(1, members - 1)  # what the others' places, less the member's own, add up to, turned round
+    forces = by.separation * apart + by.alignment * step.mean(0) + by.cohesion * (centre - x) + by.food * (food - x) + by.enemy * (enemy + x)
+    return np.clip(forces + by.inertia * step, -v_max, v_max)
+
+
+def swarm_positions(position: np.ndarray, step: np.ndarray, draw: np.ndarray, tau: float) -> np.ndarray:
+    """Bits flip where the draw is under abs(tanh(tau * step)); a mask left empty gets the place of its largest step."""
+    out = position ^ (draw < np.abs(np.tanh(tau * step)))
+    empty = np.flatnonzero(~out.any(1))
+    out[empty, np.abs(step[empty]).argmax(1)] = True
+    return out
+
+
+def select_bda(fitness: Fitness, dim: int, seed: int, size: int = 20, iterations: int = 30, v_max: float = 6.0, tau: tuple[float, float] = (1.0, 4.0), inertia: tuple[float, float] = (0.9, 0.4), density: float = 0.15, penalty: float = 0.0) -> tuple[np.ndarray, list[float]]:
+    """Binary dragonfly search: see ``pull``, ``swarm_steps`` and ``swarm_positions``; tau rises, the best mask so far leads the swarm."""
     rng = np.random.default_rng(seed)
-    score = lambda p: fitness(p) - penalty * p.mean(1)
-    x = _never_empty(rng.random((size, dim)) < 0.5, rng)
-    step = rng.uniform(-1, 1, (size, dim))
-    values = score(x)
-    best, best_value = x[values.argmax()].copy(), float(values.max())
-    history = []
+    position, step = rng.random((size, dim)) < density, rng.uniform(-1.0, 1.0, (size, dim))
+    best, best_value, history = np.zeros(dim, bool), -np.inf, []
     for i in range(iterations):
-        done = i / max(1, iterations - 1)
-        w = inertia[0] - (inertia[0] - inertia[1]) * done
-        t = tau[0] + (tau[1] - tau[0]) * done
-        calm = max(0.0, 0.1 * (1 - 2 * done))
-        s, a, k = (2 * rng.random() * calm for _ in range(3))
-        food, enemy = 2 * rng.random(), calm
-        position = x.astype(float)
-        others = (position.sum(0) - position) / max(1, size - 1)
-        separation = -(position - others) * max(1, size - 1)
-        alignment = (step.sum(0) - step) / max(1, size - 1)
-        worst = position[values.argmin()]
-        step = s * separation + a * alignment + k * (others - position) + food * (best - position) + enemy * (worst + position) + w * step
-        step = np.clip(step, -v_max, v_max)
-        x = _never_empty(x ^ (rng.random(x.shape) < np.abs(np.tanh(t * step))), rng)
-        values = score(x)
+        values = _scored(fitness, position, penalty)
         if values.max() > best_value:
-            best, best_value = x[values.argmax()].copy(), float(values.max())
-        worst_at = int(values.argmin())
-        x[worst_at], values[worst_at] = best, best_value
+            best, best_value = position[values.argmax()].copy(), float(values.max())
         history.append(best_value)
+        done = i / max(1, iterations - 1)
+        by = pull(done, rng, inertia)
+        step = swarm_steps(position, step, position[values.argmax()], position[values.argmin()], by, v_max)
+        position = swarm_positions(position, step, rng.random((size, dim)), tau[0] + (tau[1] - tau[0]) * done)
+        position[0] = best
     return best, history
 
 
-SELECTORS = {"none": select_none, "importance": select_importance, "rfe": select_rfe, "ga": select_ga, "bda": select_bda}
+# --- One interface -------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Problem:
+    """What a selector may ask for. Only what it uses need be given."""
+
+    dim: int
+    fitness: Fitness | None = None
+    importances: Callable[[], np.ndarray] | None = None
+    weights: Callable[[np.ndarray], np.ndarray] | None = None
+    keep: int = 16
+    step: float = 0.25
+    branches: tuple[tuple[str, int, int], ...] = ()  # name, first place, one past the last
+    names: tuple[str, ...] = ()
+    options: dict = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Selection:
+    method: str
+    mask: np.ndarray
+    retained: dict[str, int]
+    names: tuple[str, ...]
+    history: tuple[float, ...] = ()
+
+
+def fitted_importances(rows: DataFrame, vec: str, seed: int, trees: int = 50) -> np.ndarray:
+    """Impurity importances of a random forest fitted to id, y, ``vec``."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select("y", array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    return RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=8, seed=seed).fit(data).featureImportances.toArray()
+
+
+def selected_names(mask: np.ndarray, names: tuple[str, ...]) -> tuple[str, ...]:
+    """Names of the selected places; there must be one for each place."""
+    if len(names) != len(mask):
+        raise ValueError(f"{len(names)} names for {len(mask)} places")
+    return tuple(n for n, chosen in zip(names, mask) if chosen)
+
+
+SELECTORS: dict[str, Callable[[Problem, int], tuple[np.ndarray, list[float]]]] = {
+    "none": lambda p, seed: (select_none(p.dim), []),
+    "importance": lambda p, seed: (select_importance(p.importances(), p.keep), []),
+    "rfe": lambda p, seed: (select_rfe(p.weights, p.dim, p.keep, p.step), []),
+    "ga": lambda p, seed: select_ga(p.fitness, p.dim, seed, **p.options),
+    "bda": lambda p, seed: select_bda(p.fitness, p.dim, seed, **p.options),
+}
+
+
+def run_selector(name: str, problem: Problem, seed: int) -> Selection:
+    """Any selector by name; ``dragonfly`` and ``dfa`` are other names of ``bda``."""
+    known = {"dragonfly": "bda", "dfa": "bda"}.get(name, name)
+    if known not in SELECTORS:
+        raise ValueError(f"unknown selector {name!r}; known: {sorted(SELECTORS)}")
+    mask, history = SELECTORS[known](problem, seed)
+    mask = np.asarray(mask, bool)
+    return Selection(known, mask, {b: int(mask[lo:hi].sum()) for b, lo, hi in problem.branches}, selected_names(mask, problem.names) if problem.names else (), tuple(history))
+

@@ -24,6 +24,14 @@ def discordant(preds: DataFrame) -> DataFrame:
     return with_statistic(out)
 
 
+def evidence(winner: DataFrame, arms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """winner, other, n01, n10: the winner's row met with each pair that it is in, whichever way round; null where no pair was tested."""
+    faced = winner.select(F.col("arm").alias("winner")).join(F.broadcast(arms.select(F.col("arm").alias("other"))), F.col("winner") != F.col("other"))
+    keyed = faced.withColumn("key", F.array_sort(F.array("winner", "other")))
+    tested = pairs.select(F.array_sort(F.array("arm_a", "arm_b")).alias("key"), "n01", "n10")
+    return keyed.join(tested, "key", "left").select("winner", "other", "n01", "n10")
+
+
 def with_statistic(counts: DataFrame) -> DataFrame:
     """McNemar's continuity-corrected statistic, unclamped; null under 25 discordant pairs."""
     d = F.col("n01") + F.col("n10")

@@ -27,6 +27,36 @@ def halves(items: DataFrame, seed: int, names: tuple[str, str] = ("calib", "conf
     return out.withColumn("part", F.when(F.col("rn") <= half_even(F.col("_n") * 0.5), names[0]).otherwise(names[1])).select(*items.columns, "part")
 
 
+def nested_split(train: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
+    """``train`` with ``inner``: "val" for a half-even ``share`` of each class, else "train" (the split inside a training part)."""
+    keyed = train.withColumn("_key", seeded(F.col("id"), seed))
+    sizes = train.groupBy("cls").agg(F.count("*").alias("_n"))
+    out = ranked(keyed, ["cls"], "_key", "id").join(F.broadcast(sizes), "cls")  # one row a class
+    return out.withColumn("inner", F.when(F.col("rn") <= half_even(F.col("_n") * F.lit(share)), "val").otherwise("train")).select(*train.columns, "inner")
+
+
+def development_union(plan: DataFrame, development: DataFrame) -> DataFrame:
+    """n_rows, n_distinct, n_development: whether one fold's training and validation rows are the whole development cohort, each once."""
+    union = plan.filter("fold_id = 0").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_distinct"))
+    return union.join(F.broadcast(development.agg(F.count("*").alias("n_development"))))
+
+
+def fold_summary(plan: DataFrame) -> DataFrame:
+    """fold_id, n_train, n_val, train_counts (JSON of training rows by class, classes in order)."""
+    by = plan.groupBy("fold_id", "split_role", "cls").agg(F.count("*").alias("n"))
+    train = F.when(F.col("split_role") == "train", F.struct("cls", "n"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(train)))
+    total = lambda role: F.sum(F.when(F.col("split_role") == role, F.col("n")))
+    return by.groupBy("fold_id").agg(total("train").alias("n_train"), total("val").alias("n_val"), F.to_json(counts).alias("train_counts"))
+
+
+def expected_test_rows(items: DataFrame, train: float, val: float) -> int:
+    """How many originals the stratified split leaves for the test set, from the classes' sizes alone."""
+    sizes = items.filter("source_type = 'original'").groupBy("cls").agg(F.count("*").alias("n"))
+    left = F.col("n") - half_even(F.col("n") * F.lit(train)) - half_even(F.col("n") * F.lit(val))
+    return int(sizes.filter("cls IS NOT NULL").agg(F.coalesce(F.sum(left), F.lit(0))).first()[0])
+
+
 def folds(items: DataFrame, k: int, seed: int) -> DataFrame:
     """``items`` with ``fold``: dealt in turn within each class, each class going on where the one before ended.
 

@@ -180,6 +180,38 @@ def q15_kfold_plan(spark, d):
     return splits.fold_plan(c.folded(spark, d), c.CONFIG.folds)
 
 
+@query(f"WITH {FOLDS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_distinct, count(*) AS n_development FROM folded")
+def q15_development_union(spark, d):
+    rows = c.folded(spark, d)
+    return splits.development_union(splits.fold_plan(rows, c.CONFIG.folds), rows)
+
+
+@query(
+    f"""WITH {FOLDS}, p AS (SELECT i AS fold_id, fold = i AS val, cls, count(*) AS n FROM folded CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS i) GROUP BY ALL)
+SELECT fold_id, CAST(sum(n) FILTER (NOT val) AS BIGINT) AS n_train, CAST(sum(n) FILTER (val) AS BIGINT) AS n_val, '{{' || string_agg('"' || cls || '":' || n, ',' ORDER BY cls) FILTER (NOT val) || '}}' AS train_counts FROM p GROUP BY fold_id"""
+)
+def q15_fold_summary(spark, d):
+    return splits.fold_summary(splits.fold_plan(c.folded(spark, d), c.CONFIG.folds))
+
+
+@query(f"WITH {FOLDS} SELECT 'loaded' AS plan, 0 AS n_violations UNION ALL SELECT 'damaged', CAST(count_if(id % 7 = 0) + count_if(id % 7 = 1) + count_if(id % 7 = 1 AND fold = 0) AS BIGINT) FROM folded")
+def q15_fold_plan_violations(spark, d):
+    """A sound plan, and one in which some items are validated by no fold (id % 7 = 0) or missing from fold 0 (id % 7 = 1)."""
+    from tessera.sources.files import loaded_fold_plan
+
+    plan = splits.fold_plan(c.folded(spark, d), c.CONFIG.folds)
+    seventh = F.col("id") % 7
+    damaged = plan.withColumn("split_role", F.when(seventh == 0, "train").otherwise(F.col("split_role"))).filter(~((seventh == 1) & (F.col("fold_id") == 0)))
+    count = lambda p, name: loaded_fold_plan(p, c.classes(spark), c.CONFIG.folds)[1].agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("plan"), "n_violations")
+    return count(plan, "loaded").unionByName(count(damaged, "damaged"))
+
+
+@query(f"WITH {FOLDS}, t AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5(concat(id, ':47')), id) AS irn, count(*) OVER (PARTITION BY cls) AS icn FROM folded WHERE fold <> 0) SELECT cls, CASE WHEN irn <= round_even(icn * 0.2::DOUBLE, 0) THEN 'val' ELSE 'train' END AS \"inner\", count(*) AS n FROM t GROUP BY ALL")
+def q16_nested_split(spark, d):
+    """The inner fifth of fold 0's training rows, by class."""
+    return splits.nested_split(c.folded(spark, d).filter("fold <> 0").select("id", "cls"), c.CONFIG.seed + 5).groupBy("cls", "inner").agg(F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {FOLDS}, {CLASS_LIST}, n AS (SELECT i, cls, count(*) AS n FROM folded CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE fold <> i GROUP BY ALL),
 g AS (SELECT i AS fold_id, classes.cls, coalesce(n, 0) AS n_train FROM (SELECT unnest([0, 1, 2, 3, 4]) AS i) f CROSS JOIN classes LEFT JOIN n USING (i, cls))
@@ -283,6 +315,15 @@ def q24_metadata_join_orphans(spark, d):
     return joined.unionByName(lost.select("side", F.lit(None).cast("string").alias("quality"), F.coalesce("n", F.lit(0)).alias("n")))
 
 
+@query(
+    f"""WITH {ITEMS}, lost AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM items WHERE id NOT IN (SELECT doc_id FROM labels))
+SELECT CAST(r AS INT) AS place, id::VARCHAR AS detail, CAST(1 AS BIGINT) AS n FROM lost WHERE r <= 50 UNION ALL SELECT 51, 'more', greatest(0, count(*) - 50) FROM lost"""
+)
+def q24_capped_issues(spark, d):
+    rows, meta = c.items(spark, d).select("id"), c.read(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return audit.capped(audit.orphans(rows, meta, "id").filter("side = 'missing_metadata'"), "id")
+
+
 # --- Features ------------------------------------------------------------------------------------------------------
 
 
@@ -372,15 +413,16 @@ def q30_mcnemar_holm(spark, d):
     return rounded(significance.mcnemar_holm(c.arm_predictions(spark, d)), "statistic", "p", "holm")
 
 
-GOLDEN_P = [("a", 0.746318), ("b", 0.059172), ("c", 0.163604), ("d", None)]
-
-
 @query(
-    """WITH t AS (SELECT * FROM (VALUES ('a', 0.746318::DOUBLE), ('b', 0.059172), ('c', 0.163604), ('d', NULL)) v(pair, p)), r AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS rn, count(p) OVER () AS m FROM t WHERE p IS NOT NULL)
-SELECT t.pair, t.p, round(max(least(1.0, t.p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm FROM t JOIN r ON r.pair = t.pair UNION ALL SELECT pair, p, NULL FROM t WHERE p IS NULL"""
+    f"""WITH {ARMS_SQL}, t AS (SELECT a.arm || '-' || b.arm AS pair, round(count_if(a.pred <> a.y AND b.pred = b.y) / count(*), 6) AS p FROM ap a JOIN ap b ON a.id = b.id AND a.arm < b.arm GROUP BY a.arm, b.arm),
+r AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS rn, count(p) OVER () AS m FROM t)
+SELECT pair, p, round(max(least(1.0, p * (m - rn + 1))) OVER (ORDER BY rn), 6) AS holm FROM r"""
 )
 def q30_holm(spark, d):
-    return rounded(significance.holm(spark.createDataFrame(GOLDEN_P, "pair string, p double"), "p", "pair"), "holm")
+    """Holm's step on numbers that come from the arms' predictions: shares of items that only the second arm gets right."""
+    n = c.arm_predictions(spark, d).agg(F.count_distinct("id").alias("n"))
+    pairs = significance.discordant(c.arm_predictions(spark, d)).join(F.broadcast(n)).select(F.concat_ws("-", "arm_a", "arm_b").alias("pair"), F.round(F.col("n01") / F.col("n"), 6).alias("p"))
+    return rounded(significance.holm(pairs, "p", "pair"), "holm")
 
 
 @query(
@@ -391,22 +433,34 @@ def q31_dominance_diagnostics(spark, d):
     return metrics.dominance(metrics.confusion(c.oof(spark, d), len(c.CLASSES)))
 
 
-ARM_RESULTS = [("A0", 1280, 0.700675, 0.66), ("A2", 1298, 0.719766, 0.68), ("A4", 1286, 0.7180, 0.69), ("A5", 1310, 0.7215, 0.70), ("A7", 1316, 0.723922, 0.69)]
-ARM_VALUES = ", ".join(f"('{a}', {n}, {m}::DOUBLE, {b}::DOUBLE)" for a, n, m, b in ARM_RESULTS)
+ARM_SCORES = f"""{ARMS_SQL}, ak AS (SELECT unnest([0, 1, 2, 3]) AS k), cm AS (SELECT arm, k, CAST(count_if(y = k) AS DOUBLE) AS s, CAST(count_if(pred = k) AS DOUBLE) AS p, CAST(count_if(y = k AND pred = k) AS DOUBLE) AS t FROM ap CROSS JOIN ak GROUP BY arm, k),
+ar AS (SELECT arm, CAST(substr(arm, 2) AS INT) AS dim, avg(CASE WHEN s + p > 0 THEN 2 * t / (s + p) ELSE 0 END) AS macro_f1, avg(CASE WHEN s > 0 THEN t / s END) AS balanced_accuracy FROM cm GROUP BY arm)"""
+
+
+def arm_results(spark, d) -> DataFrame:
+    """arm, dim, macro_f1, balanced_accuracy of the three letter sets, from their out-of-fold predictions."""
+    return fold_summaries(c.arm_predictions(spark, d), "arm").select("arm", F.substring("arm", 2, 9).cast("int").alias("dim"), "macro_f1", "balanced_accuracy")
 
 
-@query(f"WITH r AS (SELECT * FROM (VALUES {ARM_VALUES}) t(arm, dim, macro_f1, balanced_accuracy)) SELECT arm, dim, macro_f1, balanced_accuracy FROM r WHERE macro_f1 >= (SELECT max(macro_f1) FROM r) - 0.005 - 1e-9 ORDER BY dim, balanced_accuracy DESC, arm LIMIT 1")
+@query(f"WITH {ARM_SCORES} SELECT arm, dim, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy FROM ar WHERE macro_f1 >= (SELECT max(macro_f1) FROM ar) - 0.005 - 1e-9 ORDER BY dim, balanced_accuracy DESC, arm LIMIT 1")
 def q31_arm_selection(spark, d):
-    results = spark.createDataFrame(ARM_RESULTS, "arm string, dim int, macro_f1 double, balanced_accuracy double")
-    return metrics.select_arm(results, c.CONFIG.arm_margin)
+    return rounded(metrics.select_arm(arm_results(spark, d), c.CONFIG.arm_margin), "macro_f1", "balanced_accuracy")
+
+
+@query(f"WITH {ARM_SCORES}, x AS (SELECT max(CASE WHEN arm = 'L4' THEN macro_f1 END) AS b, arg_max(arm, CASE WHEN arm <> 'L4' THEN macro_f1 END) AS top, max(CASE WHEN arm <> 'L4' THEN macro_f1 END) AS m FROM ar) SELECT CASE WHEN m - b > 0.005 THEN top ELSE 'L4' END AS winner FROM x")
+def q31_baseline_margin_winner(spark, d):
+    return metrics.beats_baseline(arm_results(spark, d), "L4", c.CONFIG.arm_margin)
 
 
 @query(
-    """WITH r AS (SELECT * FROM (VALUES """ + ARM_VALUES + """) t(arm, dim, m, b)), x AS (SELECT max(CASE WHEN arm = 'A0' THEN m END) AS b, arg_max(arm, CASE WHEN arm <> 'A0' THEN m END) AS top, max(CASE WHEN arm <> 'A0' THEN m END) AS m FROM r)
-SELECT CASE WHEN m - b > 0.005 THEN top ELSE 'A0' END AS winner FROM x"""
+    f"""WITH {ARM_SCORES}, w AS (SELECT arm FROM ar WHERE macro_f1 >= (SELECT max(macro_f1) FROM ar) - 0.005 - 1e-9 ORDER BY dim, balanced_accuracy DESC, arm LIMIT 1),
+n AS (SELECT a.arm AS arm_a, b.arm AS arm_b, CAST(count_if(a.pred <> a.y AND b.pred = b.y) AS BIGINT) AS n01, CAST(count_if(a.pred = a.y AND b.pred <> b.y) AS BIGINT) AS n10 FROM ap a JOIN ap b ON a.id = b.id AND a.arm < b.arm GROUP BY ALL)
+SELECT w.arm AS winner, o.arm AS other, n01, n10 FROM w JOIN ar o ON o.arm <> w.arm LEFT JOIN n ON arm_a = least(w.arm, o.arm) AND arm_b = greatest(w.arm, o.arm)"""
 )
-def q31_baseline_margin_winner(spark, d):
-    return metrics.beats_baseline(spark.createDataFrame(ARM_RESULTS, "arm string, dim int, macro_f1 double, balanced_accuracy double"), "A0", c.CONFIG.arm_margin)
+def q31_winner_evidence(spark, d):
+    """The selected arm against each other one: discordant counts by unordered pair."""
+    results = arm_results(spark, d)
+    return significance.evidence(metrics.select_arm(results, c.CONFIG.arm_margin), results, significance.discordant(c.arm_predictions(spark, d)))
 
 
 # --- Calibration and conformal sets --------------------------------------------------------------------------------
@@ -573,6 +627,31 @@ def q40_family_breakdown(spark, d):
     return rounded(features.family_breakdown(features.branch_retained(masks(spark, d), c.branch_ranges(spark))), "mean_retained", "std_retained", "percent")
 
 
+@query(
+    f"""WITH {MASKS}, {RANGES}, sets AS (SELECT branch, fold, list(pos) FILTER (selected) AS s FROM masks JOIN ranges ON pos >= start AND pos < stop GROUP BY ALL),
+j AS (SELECT a.branch, CASE WHEN len(coalesce(a.s, [])) + len(coalesce(b.s, [])) = 0 THEN 1 ELSE len(list_intersect(coalesce(a.s, []), coalesce(b.s, []))) / len(list_distinct(list_concat(coalesce(a.s, []), coalesce(b.s, [])))) END AS jaccard FROM sets a JOIN sets b ON a.branch = b.branch AND a.fold < b.fold)
+SELECT branch, round(avg(jaccard), 6) AS mean_jaccard FROM j GROUP BY branch"""
+)
+def q40_branch_jaccard(spark, d):
+    return rounded(features.branch_jaccard(masks(spark, d), c.branch_ranges(spark)), "mean_jaccard")
+
+
+@query(f"WITH {MASKS}, n AS (SELECT fold, count_if(selected) AS n FROM masks GROUP BY fold) SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, string_agg(n::VARCHAR, ',' ORDER BY fold) AS per_fold FROM n")
+def q40_dimension_stats(spark, d):
+    return rounded(features.dimension_stats(masks(spark, d)), "mean", "std")
+
+
+@query(f"WITH {MASKS}, {RANGES} SELECT fold, string_agg(branch || '_' || lpad((pos - start)::VARCHAR, 3, '0'), ';' ORDER BY pos) AS names FROM masks JOIN ranges ON pos >= start AND pos < stop WHERE selected GROUP BY fold")
+def q40_selected_names(spark, d):
+    from tessera.operators.selection import selected_names
+
+    names = tuple(f"{b}_{i:03d}" for b, lo, hi in c.EMBEDDING_BRANCHES for i in range(hi - lo))
+    chosen: dict[int, list[bool]] = {}
+    for r in masks(spark, d).orderBy("fold", "pos").collect():  # folds x places rows
+        chosen.setdefault(r.fold, []).append(r.selected)
+    return spark.createDataFrame([(f, ";".join(selected_names(m, names))) for f, m in chosen.items()], "fold int, names string")
+
+
 FROZEN = "fz AS (SELECT regexp_replace(url, '^https?://', '') || '#' || page_id AS rel_path, sha256(coalesce(html, '')) AS sha256 FROM pages)"
 
 
@@ -794,7 +873,17 @@ def q47_fold_cache_validation(spark, d):
     return rows.select("fold", first_failure(checks).alias("reason"))
 
 
-@query()
+@query(
+    f"""WITH {scorer(val=True)}, {{gates}}
+SELECT CASE WHEN m >= 0.70 AND least >= 0.50 AND r <= 1.15 AND c >= 0.65 THEN 'CERTIFIED_WINNER' ELSE 'FALLBACK' END AS status, round(m, 6) AS m, round(least, 6) AS least, round(r, 6) AS r, round(c, 6) AS c FROM a, h""".replace(
+        "{gates}",
+        """ks AS (SELECT unnest([0, 1, 2, 3]) AS k), op AS (SELECT DISTINCT id, y, pred FROM oofx), hp AS (SELECT DISTINCT id, y, pred FROM val),
+oc AS (SELECT k, CAST(count_if(y = k) AS DOUBLE) AS s, CAST(count_if(pred = k) AS DOUBLE) AS p, CAST(count_if(y = k AND pred = k) AS DOUBLE) AS t FROM op CROSS JOIN ks GROUP BY k),
+hc AS (SELECT k, CAST(count_if(y = k) AS DOUBLE) AS s, CAST(count_if(pred = k) AS DOUBLE) AS p, CAST(count_if(y = k AND pred = k) AS DOUBLE) AS t FROM hp CROSS JOIN ks GROUP BY k),
+a AS (SELECT avg(CASE WHEN s + p > 0 THEN 2 * t / (s + p) ELSE 0 END) AS m, min(CASE WHEN s + p > 0 THEN 2 * t / (s + p) ELSE 0 END) AS least, max(round(p / greatest(1, s), 4)) AS r FROM oc),
+h AS (SELECT avg(CASE WHEN s + p > 0 THEN 2 * t / (s + p) ELSE 0 END) AS c FROM hc)""",
+    ).replace(", ks AS", scorer(name="x").removeprefix(FOLDS) + ", ks AS", 1)
+)
 def q47_run_gates(spark, d):
     from tessera.operators.gates import run_gates
 
@@ -814,7 +903,7 @@ def q48_locked_test(spark, d):
     from tessera.operators.gates import locked_test
 
     preds = c.holdout_predictions(spark, d, "test")
-    rows = locked_test(True, preds, c.holdout(spark, d, "test").count())
+    rows = locked_test(True, preds, splits.expected_test_rows(c.items(spark, d), c.CONFIG.train_ratio, c.CONFIG.val_ratio))
     return rounded(metrics.summary(metrics.class_metrics(metrics.confusion(rows, len(c.CLASSES)))), *metrics.METRICS).select("macro_f1", "accuracy", "balanced_accuracy")
 
 
@@ -823,3 +912,81 @@ def q48_majority_baseline(spark, d):
     rows = c.folded(spark, d)
     best = rows.groupBy("cls").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "cls"))["cls"].alias("pred"))
     return rows.join(F.broadcast(best)).groupBy("pred").agg(F.count("*").alias("n"), F.count_if(F.col("cls") == F.col("pred")).alias("n_right"))
+
+
+FINAL = f"""{EMBEDDINGS}, flat AS (SELECT id, cls, fold, i - 1 AS pos, vec[i]::DOUBLE AS x FROM erows, range(1, 65) t(i)),
+st AS (SELECT pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1 ELSE stddev_pop(x) END AS s FROM flat WHERE fold < 4 GROUP BY pos), z AS (SELECT id, cls, fold, flat.pos, (x - m) / s AS z FROM flat JOIN st ON st.pos = flat.pos),
+ce AS (SELECT cls, pos, avg(z) AS c FROM z WHERE fold < 4 AND cls IS NOT NULL GROUP BY ALL), dd AS (SELECT z.id, z.cls AS y, ce.cls AS k, round(sum((z.z - c) * (z.z - c)), 6) AS d FROM z JOIN ce ON ce.pos = z.pos WHERE fold = 4 GROUP BY z.id, z.cls, ce.cls),
+fin AS (SELECT id, y, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS r FROM dd) WHERE r = 1)"""
+
+
+@query(f"WITH {FINAL} SELECT id, y, pred FROM fin")
+def q48_final_retrain(spark, d):
+    """Normaliser and centres of all training rows (folds 0 to 3), and the holdout (fold 4) scored by them."""
+    rows = c.embedding_rows(spark, d)
+    return features.final_scores(rows.filter("fold = 4"), "vec", *features.final_fit(rows.filter("fold < 4"), "vec"))
+
+
+REASON = "CASE WHEN coalesce(text, '') = '' THEN 'MISSING' WHEN length(text) < 32 THEN 'TOO_SMALL' WHEN length(replace(text, substr(text, 1, 1), '')) = 0 THEN 'UNIFORM' END"
+
+
+def _frozen(spark, d):
+    """The scorer's arrays, its temperature 1 over the sharpness, and the conformal half's quantile."""
+    from tessera.operators.inference import Frozen
+    from tessera.operators.scoring import SHARPNESS, centroids, letter_features
+
+    train = c.base(spark, d).filter("split = 'train' AND source_type = 'original'").select("cls", F.lit(0).alias("fold"), "x")
+    centres = {r.cls: list(r.c) for r in centroids(train, 0, len(LETTERS)).filter("fold = -1").collect()}  # one row a class
+    q = conformal.quantiles(c.holdout_predictions(spark, d, "val").filter("part = 'conf'"), c.CONFIG.alpha).first()
+    dim = len(LETTERS)
+    return Frozen(lambda x: F.array(*letter_features(x)), [0.0] * dim, [1.0] * dim, [True] * dim, [centres[k] for k in c.CLASSES], 1 / SHARPNESS, q.q if q else 1.0, c.CLASSES)
+
+
+@query(
+    f"""WITH {MARGINAL}, x AS (SELECT doc_id AS id, {REASON} AS reason FROM documents)
+SELECT coalesce(reason, 'usable') AS reason, CASE WHEN reason IS NULL THEN 'status' ELSE 'validate' END AS stage, count(*) AS n FROM x GROUP BY ALL"""
+)
+def q49_inference_stages(spark, d):
+    """Every document through the nine stages: how far they come, and why some stop."""
+    return inferred(spark, d).groupBy(F.coalesce("reason", F.lit("usable")).alias("reason"), "stage").agg(F.count("*").alias("n"))
+
+
+def inferred(spark, d) -> DataFrame:
+    from tessera.operators.inference import infer, invalid_reason
+
+    rows = c.items(spark, d, "text").select("id", "text")
+    spread = F.length(F.replace(F.col("text"), F.substring("text", 1, 1))).cast("double")
+    return infer(rows, "text", invalid_reason(F.length("text") > 0, F.length("text"), spread), _frozen(spark, d))
+
+
+@query(
+    f"""WITH {MARGINAL}, {TEST_SETS.format(on='true')}, x AS (SELECT doc_id AS id, {REASON} AS reason FROM documents)
+SELECT id, CASE WHEN reason IS NULL THEN ['de', 'en', 'es', 'fr'][pred + 1] END AS label, CASE WHEN reason IS NULL THEN coalesce(names, '') END AS prediction_set,
+CASE WHEN reason IS NOT NULL THEN 'INPUT_QUALITY_FAILURE' WHEN size = 0 THEN 'NO_CLASS_MEETS_CONFORMAL_THRESHOLD' WHEN size = 1 THEN 'STANDARD_OUTPUT' ELSE 'SPECIALIST_REVIEW_REQUIRED' END AS status FROM sets JOIN x USING (id)"""
+)
+def q49_inference(spark, d):
+    """Labels, sets and statuses of the held-out test rows by the batch pipeline."""
+    test = c.holdout(spark, d, "test").select("id")
+    return inferred(spark, d).join(test, "id", "left_semi").select("id", "label", "prediction_set", "status")
+
+
+def images(spark, d) -> DataFrame:
+    """id, height, width, pixels: each embedding drawn as a 64 x 64 image; every ninth row lacks its last byte."""
+    side = 64
+    rows = c.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.pmod(F.floor(x * 512 + 128), F.lit(256)).cast("int")).alias("v"))
+    digits = F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
+    row = F.concat(digits, digits, digits)  # 64 pixels of 3 bytes
+    shifted = [F.concat(F.expr(f"substr(r, {1 + 6 * i})"), F.expr(f"substr(r, 1, {6 * i})")) for i in range(0, side, 8)]
+    whole = F.repeat(F.concat(*shifted), side // len(shifted))
+    body = rows.withColumn("r", row).select("id", F.lit(side).alias("height"), F.lit(side).alias("width"), F.unhex(whole).alias("pixels"))
+    return body.withColumn("pixels", F.when(F.col("id") % 9 == 0, F.expr("substr(pixels, 1, length(pixels) - 1)")).otherwise(F.col("pixels")))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'pixels do not fill the size' END AS error, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 12 END AS n_glcm, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 18 END AS n_lbp, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 36 END AS n_hog, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 6 END AS n_lab, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE 1.0::DOUBLE END AS lbp_mass FROM embeddings")
+def q49_image_descriptors(spark, d):
+    """Widths of the four descriptors and the LBP histogram's mass; bad rows say why. (Values are tested against plain numpy.)"""
+    from tessera.operators.descriptors import extract
+
+    out = extract(images(spark, d))
+    size = lambda x: F.when(F.col(x).isNotNull(), F.size(x))
+    return out.select("id", "error", size("glcm").alias("n_glcm"), size("lbp").alias("n_lbp"), size("hog").alias("n_hog"), size("color_lab").alias("n_lab"), F.round(F.aggregate("lbp", F.lit(0.0), lambda a, x: a + x), 6).alias("lbp_mass"))

@@ -6,6 +6,7 @@ augmented. Feature vectors are letter frequencies of the text, or the branches o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,10 +52,29 @@ def holdout(spark: SparkSession, sf_dir: str, split: str, *more: str) -> DataFra
     return split_items(spark, sf_dir, *more).filter(F.col("split") == split)
 
 
+#: Written tables of this process by (application, what, folder): several queries of one session share them.
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(spark: SparkSession, what: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, what, sf_dir)
+    if key not in _SHARED:
+        _SHARED[key] = written(make())
+    return _SHARED[key]
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, cls, source_type, split, x (letter features) of all items: texts are read once, then left behind."""
-    rows = split_items(spark, sf_dir, "text").withColumn("x", F.array(*scoring.letter_features(F.col("text"))))
-    return written(rows.select("id", "cls", "source_type", "split", "x"))
+    """id, cls, source_type, split, x (letter features) of all items: texts are read once a session, then left behind."""
+
+    def make() -> DataFrame:
+        rows = split_items(spark, sf_dir, "text").withColumn("x", F.array(*scoring.letter_features(F.col("text"))))
+        return rows.select("id", "cls", "source_type", "split", "x")
+
+    return _shared(spark, "base", sf_dir, make)
+
+
+def _developed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, "development", sf_dir, lambda: development(base(spark, sf_dir)))
 
 
 def development(rows: DataFrame) -> DataFrame:
@@ -69,7 +89,7 @@ def _oof(rows: DataFrame, k: int) -> DataFrame:
 
 def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of the training originals."""
-    return _oof(written(development(base(spark, sf_dir))), len(scoring.LETTERS))
+    return _oof(_developed(spark, sf_dir), len(scoring.LETTERS))
 
 
 def holdout_predictions(spark: SparkSession, sf_dir: str, *which: str) -> DataFrame:
@@ -88,7 +108,7 @@ def holdout_predictions(spark: SparkSession, sf_dir: str, *which: str) -> DataFr
 
 def arm_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arm, id, fold, y, pred of three letter sets."""
-    rows = written(development(base(spark, sf_dir)))
+    rows = _developed(spark, sf_dir)
     parts = [_oof(rows, k).select(F.lit(f"L{k}").alias("arm"), "id", "fold", "y", "pred") for k in (4, 8, 12)]
     return reduce(DataFrame.unionByName, parts)
 

@@ -13,6 +13,7 @@ from tessera.functions.columns import suffix
 from tessera.operators.labels import prefix_class
 from tessera.schema import CLASS_MAPPING, DISCOVERED, FOLD_PLAN, PROVENANCE, struct
 
+#: The extensions that count as images.
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".webp")
 
 
@@ -69,17 +70,24 @@ def discover(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def readable(content: Column) -> Column:
-    """Whether the bytes begin as one of the known image formats does, and end as JPEG and PNG must."""
-    head, tail = F.hex(F.substring(content, 1, 12)), F.hex(F.substring(content, -12, 12))
-    jpeg = head.startswith("FFD8FF") & F.rtrim(tail).endswith("FFD9")
-    png = head.startswith("89504E470D0A1A0A") & tail.endswith("49454E44AE426082")
-    return F.coalesce(jpeg | png | head.startswith("424D") | head.startswith("49492A00") | head.startswith("4D4D002A") | (head.startswith("52494646") & head.endswith("57454250")), F.lit(False))
+def checked(files: DataFrame) -> DataFrame:
+    """label, ok of (label, content) rows: whether the whole body is sound (see ``image_files.intact``). Bodies are read in Arrow batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from tessera.functions.image_files import intact
+
+        for batch in batches:
+            ok = [body.is_valid and intact(body.as_buffer().to_pybytes()) for body in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_())], names=["label", "ok"])
+
+    return files.select(F.col("label").cast("string").alias("label"), "content").mapInArrow(run, "label string, ok boolean")
 
 
 def validate(files: DataFrame) -> DataFrame:
     """label, n_readable, n_corrupt, status of (label, content) rows: FAIL without a readable file, WARNING with corrupt ones."""
-    out = files.groupBy("label").agg(F.count_if(readable(F.col("content"))).alias("n_readable"), F.count_if(~readable(F.col("content"))).alias("n_corrupt"))
+    out = checked(files).groupBy("label").agg(F.count_if("ok").alias("n_readable"), F.count_if(~F.col("ok")).alias("n_corrupt"))
     return out.withColumn("status", F.when(F.col("n_readable") == 0, "FAIL").when(F.col("n_corrupt") > 0, "WARNING").otherwise("PASS"))
 
 
@@ -90,14 +98,32 @@ def mapping_from_json(spark: SparkSession, text: str) -> DataFrame:
 
 
 def provenance_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The provenance table; of rows that repeat an id one stays."""
-    return spark.read.schema(struct(PROVENANCE)).csv(path, header=True).dropDuplicates(["item_id"])
+    """The provenance table; of rows that repeat an id the last one stays (files in order of name, then lines)."""
+    rows = spark.read.schema(struct(PROVENANCE)).csv(path, header=True)
+    placed = rows.select(F.struct(*rows.columns).alias("row"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return placed.groupBy("row.item_id").agg(F.max_by("row", F.struct("file", "line")).alias("row")).select("row.*")
 
 
 def fold_plan_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(struct(FOLD_PLAN)).csv(path, header=True)
 
 
+def loaded_fold_plan(plan: DataFrame, classes: DataFrame, n_folds: int) -> tuple[DataFrame, DataFrame]:
+    """A stored plan checked: weights by fold and class recomputed from its training rows, and its violations (check, detail).
+
+    An id must be in each fold exactly once, and be validated by exactly one fold; folds must be numbered from 0 without gaps.
+    """
+    train = plan.filter("split_role = 'train'")
+    per = train.groupBy("fold_id", "cls").agg(F.count("*").alias("n_train"))
+    grid = plan.select("fold_id").distinct().join(F.broadcast(classes)).join(per, ["fold_id", "cls"], "left").withColumn("n_train", F.coalesce("n_train", F.lit(0)))
+    n = F.broadcast(grid.groupBy("fold_id").agg(F.sum("n_train").alias("all"), F.count("*").alias("k")))
+    weights = grid.join(n, "fold_id").select("fold_id", "cls", "n_train", F.when(F.col("n_train") > 0, F.col("all") / (F.col("k") * F.col("n_train"))).alias("weight"))
+    by = plan.groupBy("id").agg(F.count("*").alias("rows"), F.count_distinct("fold_id").alias("folds"), F.count_if(F.col("split_role") == "val").alias("vals"))
+    bad = by.select(F.explode(F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in (("once a fold", F.col("rows") == F.col("folds")), ("all folds", F.col("folds") == n_folds), ("validated once", F.col("vals") == 1))]), lambda x: x.isNotNull())).alias("check"), F.col("id").cast("string").alias("detail"))
+    numbers = plan.select("fold_id").distinct().filter(~F.col("fold_id").between(0, n_folds - 1)).select(F.lit("fold number").alias("check"), F.col("fold_id").cast("string").alias("detail"))
+    return weights, bad.unionByName(numbers)
+
+
 def vectors(spark: SparkSession, path: str, column: str, dim: int) -> DataFrame:
     """A feature table whose vectors are checked as they are read: wrong widths, NaN and infinity raise."""
     rows = spark.read.parquet(path)

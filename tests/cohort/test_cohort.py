@@ -1,13 +1,16 @@
 """Labels, lineage, duplicates, splits, files and descriptors."""
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import Config, check_domain
-from tessera.functions import images
+from tessera.functions import image_files, images
 from tessera.functions.columns import id_of_filename, normalize_key, parent_key, ranked, seeded
-from tessera.operators import audit, dedup, labels, lineage, splits
+from tessera.operators import audit, dedup, descriptors, features, inference, labels, lineage, significance, splits
 from tessera.sources import files, sinks
 from tessera.sources.sinks import written
 
@@ -108,8 +111,113 @@ def test_freeze_diff(spark):
     assert {tuple(r) for r in audit.freeze_diff(old, new).collect()} == {("a", "REMOVED"), ("c", "CHANGED"), ("d", "ADDED")}
 
 
+def jpeg():
+    """A frame header, a scan header, coded data and the end."""
+    return b"\xff\xd8\xff\xe0\x00\x04JF\xff\xc0\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + b"\x12\x34" * 9 + b"\xff\xd9"
+
+
+def png(width=5, height=4):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * height * (1 + 3 * width))) + chunk(b"IEND", b"")
+
+
+def test_damaged_bodies_are_found():
+    pixels = b"\1" * 16 * 3
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(pixels), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 4, 4, 1, 24, 0, len(pixels), 0, 0, 0, 0) + pixels
+    entries = [(256, 3, 1, 4), (257, 3, 1, 4), (273, 4, 1, 62), (279, 4, 1, 16)]
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 4) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0) + b"\2" * 16
+    webp = b"RIFF" + struct.pack("<I", 4 + 8 + 6) + b"WEBPVP8 " + struct.pack("<I", 6) + b"abcdef"
+    for body in (jpeg(), png(), bmp, tiff, webp):
+        assert image_files.intact(body)
+        assert not image_files.intact(body[: len(body) * 2 // 3]) and not image_files.intact(body[:4])
+    flipped = bytearray(png())
+    flipped[45] ^= 1
+    assert not image_files.intact(bytes(flipped)) and not image_files.intact(b"") and not image_files.intact(b"text")
+
+
+def test_the_last_of_repeated_provenance_rows_stays(spark, tmp_path):
+    columns = files.struct(files.PROVENANCE).names
+    lines = [",".join(columns)] + [",".join([i, d] + [""] * (len(columns) - 2)) for i, d in (("a", "one"), ("b", "two"), ("a", "three"), ("a", "four"))]
+    (tmp_path / "p.csv").write_text("\n".join(lines) + "\n")
+    got = {r.item_id: r.source_dataset for r in files.provenance_csv(spark, f"{tmp_path}/p.csv").collect()}
+    assert got == {"a": "four", "b": "two"} and files.provenance_csv(spark, f"{tmp_path}/p.csv").columns == columns
+
+
+def test_stored_fold_plans_are_checked(spark):
+    rows = [(f, "val" if i % 3 == f else "train", i, "x" if i % 2 else "y") for i in range(12) for f in range(3)]
+    plan = spark.createDataFrame(rows, "fold_id int, split_role string, id int, cls string")
+    classes = spark.createDataFrame([("x",), ("y",), ("z",)], "cls string")
+    weights, bad = files.loaded_fold_plan(plan, classes, 3)
+    assert bad.count() == 0
+    assert {(r.fold_id, r.cls): (r.n_train, r.weight) for r in weights.collect()}[0, "x"] == (4, pytest.approx(8 / (3 * 4)))
+    assert all(r.weight is None for r in weights.filter("cls = 'z'").collect())
+    broken = plan.filter("NOT (id = 1 AND fold_id = 0)").unionByName(plan.filter("id = 2 AND fold_id = 1")).withColumn("split_role", F.when(F.col("id") == 3, "train").otherwise(F.col("split_role")))
+    broken = broken.unionByName(plan.filter("id = 4 AND fold_id = 0").withColumn("fold_id", F.lit(7)))
+    got = {(r["check"], r.detail) for r in files.loaded_fold_plan(broken, classes, 3)[1].collect()}
+    assert {("all folds", "1"), ("once a fold", "2"), ("validated once", "3"), ("fold number", "7")} <= got
+
+
+def test_fusion_raises_for_missing_and_repeated_ids(spark):
+    one = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, vec array<double>")
+    two = spark.createDataFrame([(1, [3.0]), (2, [4.0])], "id int, vec array<double>")
+    assert {r.id: r.fused for r in features.fuse({"deep": one, "glcm": two}, "id", ["glcm", "deep"]).collect()} == {1: [1.0, 3.0], 2: [2.0, 4.0]}
+    for bad in (two.filter("id = 1"), two.unionByName(two)):
+        with pytest.raises(Exception, match="missing or repeated"):
+            features.fuse({"deep": one, "glcm": bad}, "id", ["deep", "glcm"]).collect()
+
+
+def test_capped_issues_and_pair_evidence(spark):
+    issues = spark.range(60)
+    got = audit.capped(issues, "id", 50).orderBy("place").collect()
+    assert len(got) == 51 and got[0].detail == "0" and (got[50].place, got[50].detail, got[50].n) == (51, "more", 10)
+    assert audit.capped(issues.limit(0), "id").first().n == 0
+    arms = spark.createDataFrame([("a",), ("b",), ("c",)], "arm string")
+    pairs = spark.createDataFrame([("a", "b", 1, 2)], "arm_a string, arm_b string, n01 long, n10 long")
+    assert {tuple(r) for r in significance.evidence(arms.filter("arm = 'b'"), arms, pairs).collect()} == {("b", "a", 1, 2), ("b", "c", None, None)}
+
+
+def test_inference_stops_at_the_stage_that_fails(spark):
+    model = inference.Frozen(lambda x: F.array(F.length(x).cast("double"), F.when(F.length(x) > 90, F.lit(float("nan"))).otherwise(F.lit(1.0))), [0.0, 0.0], [10.0, 1.0], [True, False], [[4.0], [8.0]], 1.0, 0.9, ["short", "long"])
+    rows = spark.createDataFrame([(1, "ab" * 20), (2, "a b" * 27), (3, None), (4, "tiny"), (5, "a" * 40), (6, "ab" * 50), (7, "abc" * 20)], "id int, text string")
+    reason = inference.invalid_reason(F.length("text") > 0, F.length("text"), F.length(F.replace(F.col("text"), F.substring("text", 1, 1))).cast("double"))
+    got = {r.id: r for r in inference.infer(rows, "text", reason, model).collect()}
+    assert {i: (r.stage, r.reason) for i, r in got.items()} == {1: ("status", None), 2: ("status", None), 3: ("validate", "MISSING"), 4: ("validate", "TOO_SMALL"), 5: ("validate", "UNIFORM"), 6: ("features", None), 7: ("status", None)}
+    assert (got[1].label, got[1].prediction_set, got[1].status) == ("short", "short", "STANDARD_OUTPUT") and got[2].label == "long"
+    assert got[7].prediction_set == "short;long" and got[7].status == "SPECIALIST_REVIEW_REQUIRED" and got[3].status == got[6].status == "INPUT_QUALITY_FAILURE"
+    assert inference.infer_or_raise(rows.filter("id < 3"), "text", reason, model).count() == 2
+    with pytest.raises(Exception, match="input 4: TOO_SMALL"):
+        inference.infer_or_raise(rows, "text", reason, model).filter("id = 4").collect()
+
+
+def test_descriptors_of_a_table_are_numpys_and_bad_rows_do_not_stop_it(spark):
+    rng = np.random.default_rng(5)
+    good = [rng.integers(0, 256, (64, 64, 3)).astype(np.uint8) for _ in range(3)]
+    rows = [(i, 64, 64, bytearray(x.tobytes())) for i, x in enumerate(good)] + [(8, 64, 64, bytearray(b"x")), (9, 0, 3, bytearray()), (10, 4, 4, None)]
+    out = descriptors.extract(spark.createDataFrame(rows, "id int, height int, width int, pixels binary"))
+    got = {r.id: r for r in out.collect()}
+    for i, x in enumerate(good):
+        assert all(getattr(got[i], k) == pytest.approx(v) for k, v in images.describe(x).items())
+    assert all(got[i].error and got[i].glcm is None for i in (8, 9, 10))
+    r = descriptors.report(out).first()
+    assert (r.n, r.n_failed, r.glcm_width, r.lbp_width, r.hog_width, r.color_lab_width) == (6, 3, 12, 18, 36, 6)
+    steps = spark.createDataFrame([(0.05, 30.0, "conditional"), (0.05, 30.0, "standard"), (0.5, 50.0, "conditional")], "h double, s double, m string")
+    assert [list(r.p) for r in steps.select(descriptors.preprocessing(F.col("h"), F.col("s"), F.col("m")).alias("p")).collect()] == [["hair_removal", "clahe"], [], []]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_close_pairs_do_not_depend_on_blocks(spark, monkeypatch, k):
+    rng = np.random.default_rng(k)
+    base = rng.integers(0, 2**63, 30, dtype=np.int64)
+    words = {int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in (0, 2, 4, 5, 6)}
+    reps = spark.createDataFrame([(i, "c", (w >> 32) & 0xFFFFFFFF, w & 0xFFFFFFFF) for i, w in enumerate(sorted(words))], "rep long, cls string, lo long, hi long")
+    monkeypatch.setattr(dedup, "agreeing_blocks", lambda n, bits: k)
+    got = sorted((r.a, r.b, r.distance) for r in dedup.close_pairs(reps, 5, within="cls").collect())
+    w = sorted(words)
+    assert got == [(i, j, bin(w[i] ^ w[j]).count("1")) for i in range(len(w)) for j in range(i + 1, len(w)) if bin(w[i] ^ w[j]).count("1") <= 5]
+
+
 def test_files(spark, tmp_path):
-    ok = b"\xff\xd8\xff" + b"0" * 20 + b"\xff\xd9"
+    ok = jpeg()
     for rel in ("d/train/mixed/red-widget-1.jpg", "d/train/mixed/other.JPG", "d/test/mixed/x.txt", "f/K/1.png", "s/v1/Augmented/AD/1.jpg", "s/v1/Preprocessed/SD/2.jpg"):
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / rel).write_bytes(ok)

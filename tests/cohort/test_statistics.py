@@ -114,7 +114,64 @@ def test_searches_are_deterministic_and_find_the_good_places():
         assert (a == b).all() and history == sorted(history) and fitness(a[None])[0] >= 0.8
     assert selection.select_importance(np.array([1.0, 3.0, 3.0, 2.0]), 2).tolist() == [False, True, True, False]
     assert selection.select_rfe(lambda m: np.flatnonzero(m), 10, 3, 0.2).tolist() == [False] * 7 + [True] * 3
-    assert selection._never_empty(np.zeros((3, 5), bool), np.random.default_rng(0)).any(1).all()
+
+
+def test_swarm_forces_by_hand():
+    """Three masks of two places; each force alone, then bounds and inertia."""
+    x, step = np.array([[1, 0], [0, 0], [1, 1]], bool), np.array([[0.5, -0.5], [0.0, 1.0], [-1.0, 0.5]])
+    food, enemy = x[2], x[1]
+    alone = lambda **w: selection.swarm_steps(x, step, food, enemy, selection.Pull(**({k: 0.0 for k in ("separation", "alignment", "cohesion", "food", "enemy", "inertia")} | w)), 6.0)
+    for i in range(3):
+        assert alone(separation=1.0)[i] == pytest.approx(-sum(x[j].astype(float) - x[i] for j in range(3)) / 2)
+    assert alone(alignment=1.0) == pytest.approx(np.array([[-1 / 6, 1 / 3]] * 3))
+    assert alone(cohesion=1.0) == pytest.approx(np.array([[2 / 3, 1 / 3]]) - x)
+    assert alone(food=1.0).tolist() == [[0, 1], [1, 1], [0, 0]]
+    assert alone(enemy=1.0).tolist() == [[1, 0], [0, 0], [1, 1]]
+    assert alone(inertia=0.5) == pytest.approx(step / 2)
+    assert np.abs(selection.swarm_steps(x, step * 100, food, enemy, selection.Pull(0, 0, 0, 0, 0, 1.0), 6.0)).max() == 6.0
+
+
+def test_pull_turns_from_apart_to_together():
+    rng = np.random.default_rng(0)
+    first, last = selection.pull(0.0, rng), selection.pull(1.0, rng)
+    assert (first.alignment, first.cohesion, first.food) == (0, 0, 0) and first.separation > 0 and first.enemy > 0 and first.inertia == pytest.approx(0.9)
+    assert (last.separation, last.enemy) == (0, 0) and min(last.alignment, last.cohesion, last.food) > 0 and last.inertia == pytest.approx(0.4)
+
+
+def test_an_emptied_mask_gets_the_place_of_its_largest_step():
+    x, step = np.array([[True, False, False], [True, True, False]]), np.array([[3.0, -0.1, 0.2], [0.0, 0.0, 0.0]])
+    draw = np.array([[0.0, 1.0, 1.0], [1.0, 1.0, 1.0]])
+    assert selection.swarm_positions(x, step, draw, 2.0).tolist() == [[True, False, False], [True, True, False]]
+
+
+def test_search_start_penalty_and_empty_masks():
+    """About 15 % of places at first; the penalty is for each place; empty masks are worst."""
+    seen = []
+    fitness = lambda pop: seen.append(pop.copy()) or np.ones(len(pop))
+    for search in (selection.select_ga, selection.select_bda):
+        seen.clear()
+        mask, history = search(fitness, 2000, 3, 20, 2, penalty=0.001)
+        assert 0.13 < seen[0].mean() < 0.17 and len(seen) == 2
+        assert history[0] == pytest.approx(1 - 0.001 * min(p.sum() for p in seen[0]))
+    assert selection._scored(fitness, np.array([[False, False], [True, False]]), 0.1).tolist() == [selection.WORST, 0.9]
+    values = np.array([0.1, 0.9, 0.5])
+    assert {selection.tournament(values, np.random.default_rng(s), 50) for s in range(5)} == {1}
+
+
+def test_one_interface_for_all_selectors():
+    good = np.array([True] * 3 + [False] * 9)
+    names = tuple(f"f{i}" for i in range(12))
+    problem = selection.Problem(12, lambda pop: np.array([(r == good).mean() for r in pop]), lambda: np.arange(12)[::-1], lambda m: -np.flatnonzero(m), 3, 0.2, (("a", 0, 6), ("b", 6, 12)), names)
+    for name in ("importance", "rfe", "ga", "bda", "dragonfly", "dfa"):
+        found = selection.run_selector(name, problem, 1)
+        assert (found.mask == good).mean() >= 0.75 and found.method in selection.SELECTORS
+        assert found.retained == {"a": found.mask[:6].sum(), "b": found.mask[6:].sum()} and found.names == tuple(n for n, m in zip(names, found.mask) if m)
+    assert selection.run_selector("importance", problem, 1).mask.tolist() == selection.run_selector("rfe", problem, 1).mask.tolist() == good.tolist()
+    assert selection.run_selector("none", problem, 1).mask.all()
+    with pytest.raises(ValueError):
+        selection.run_selector("magic", problem, 1)
+    with pytest.raises(ValueError):
+        selection.selected_names(good, names[:5])
 
 
 def test_arm_selection(spark):
