@@ -40,7 +40,9 @@ def _lines(text: str) -> Column:
 
 def line_places(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     """doc_id, t (hash of the text), at (place), h1, h2 of every line with a key that is long enough."""
-    key = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("t"), F.posexplode(_lines(text)).alias("at", "line")).withColumn("key", line_key(F.col("line")))
+    # The text ends here, before its lines are exploded: what stands beside a generator is worked out again for each line.
+    split = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("t"), _lines(text).alias("lines"))
+    key = split.select("doc_id", "t", F.posexplode("lines").alias("at", "line")).withColumn("key", line_key(F.col("line")))
     return key.filter(F.length("key") >= min_chars).select("doc_id", "t", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(20), "key").alias("h2"))
 
 
@@ -71,10 +73,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_t"))
     joined = whole.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_t") == F.col("gone_t")), "left")
     own = F.col("row").getField(text)
-    lines = F.split(F.coalesce(own, F.lit("")), "\n", -1)
-    n_lines = (F.length(own) - F.length(F.translate(own, "\n", "")) + 1).cast("long")
-    joined = joined.withColumns({"lines": F.when(F.col("gone").isNotNull(), lines), "n_lines": F.coalesce(n_lines, F.lit(1)), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
-    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("gone"))
+    joined = joined.withColumns({"lines": F.when(F.col("gone").isNotNull(), F.split(F.coalesce(own, F.lit("")), "\n", -1)), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
+    # The lines are used more than once below, so that they are split once a text and not inside the lambda.
+    count = F.length(own) - F.length(F.translate(own, "\n", "")) + 1
+    joined = joined.withColumn("n_lines", F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(F.coalesce(count, F.lit(1))).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     body = F.when(F.col("gone").isNull(), own).otherwise(rest)
     return joined.select(*[(body if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns], "n_lines", "n_dropped")
