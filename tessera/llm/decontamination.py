@@ -14,13 +14,12 @@ Words: A-Z lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F].
 
 Defined results: null or empty texts have no words and no hits; items without words are never found; repeated
 items and documents are handled as often as they occur (an item_id counts once); a null item_id is left out of the
-items found though its windows hit; an empty benchmark hits nothing; an empty table of documents gives an empty
-table. Columns of the documents are carried along by ``decontaminate``.
+items found though its windows hit; an empty benchmark hits nothing; a text of any length is streamed whole; an empty table
+of documents gives an empty table. Columns of the documents are carried along by ``decontaminate`` whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.llm.common import FOLD, map_lists
+from tessera.llm.common import FOLD, ROWS, map_lists
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -261,7 +260,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     One pass a block. All passes read the uncut text and hand on the spans found so far; the last one judges and cuts.
     """
     schema, at = docs.schema, docs.columns.index(text)
-    carried = StructType([*schema.fields, StructField("_spans", ArrayType(ArrayType(IntegerType())))])
+    extra = "spans"
+    while extra in schema.names:
+        extra += "_"
+    carried = StructType([*schema.fields, StructField(extra, ArrayType(ArrayType(IntegerType())))])
     blocks = _blocks(benchmark, text, window, block_words)
     automaton, first = next(blocks), True
     while automaton is not None:
@@ -272,7 +274,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
             import pyarrow as pa
 
             a = shared.value
-            for batch in batches:
+            for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
                 texts = batch.column(at).to_pylist()
                 words = [words_of(t) for t in texts]
                 spans = [a.scan(w)[0] for w in words]
@@ -280,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     spans = [merged_spans([*map(tuple, old), *new]) for old, new in zip(batch.column(len(schema)).to_pylist(), spans)]
                 columns = list(batch.columns[: len(schema)])
                 if not last:
-                    names = [*schema.names, "_spans"]
+                    names = [*schema.names, extra]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32())))], names=names)
                     continue
                 keep = [sum(y - x for x, y in s) <= max_coverage * len(w) for s, w in zip(spans, words)]
@@ -292,6 +294,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         automaton, first = following, False
     return docs
 
-
-def items_digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -44,6 +44,56 @@ def test_host_verdicts_shrink_and_spare_clean_documents(spark):
     assert kept.columns == docs(spark, []).columns and {r.doc_id for r in kept.collect()} == {*range(30, 31), *range(32, 63)}
 
 
+def test_verdicts_of_bad_hosts_change_rows_and_sql_agrees(spark, tmp_path):
+    """Documents that pass the base rules go if their host is worse than hosts are; the query's SQL says the same."""
+    import duckdb
+
+    from tessera.llm.queries import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    texts, hosts = [], []
+    for h in range(40):
+        for _ in range(int(rng.integers(1, 30))):
+            bad = rng.random() < (0.8 if h % 10 == 0 else 0.05)
+            kind = rng.integers(0, 3)
+            texts.append(say(30) if bad and kind == 0 else (say(20) + "\n") * 4 if bad and kind == 1 else " ".join(f"w{x}#" for x in range(70)) if bad else say(55) if rng.random() < 0.4 else say(90) + " #" * 30)
+            hosts.append(f"h{h}" if h else None)
+    docs(spark, texts, hosts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_quality_rules"](spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    dropped = got[~got.base_failed & ~got.kept]
+    bad = [d for d in dropped.doc_id if hosts[d] in (None, "h10", "h20", "h30")]
+    assert 5 < len(dropped) < len(got) / 3 and len(bad) > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["op1_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got[sorted(got.columns)].astype(str) == want[sorted(want.columns)].astype(str)).all(axis=None)
+
+
+def test_hosts_that_differ_by_chance_are_not_suspect(spark):
+    rng = np.random.default_rng(9)
+    good = " ".join(f"w{i}" for i in range(55))
+    texts = ["short" if x else good for x in rng.random(600) < 0.1]
+    got = quality_rules.quality_verdicts(docs(spark, texts, [f"h{i % 20}" for i in range(600)])).collect()
+    assert all(r.kept == (not r.base_failed) for r in got)
+
+
+@pytest.mark.parametrize("share", [1e-4, 0.2, 2.0])
+def test_verdicts_do_not_depend_on_which_hosts_are_hot(spark, share):
+    good, weak = (" ".join(f"w{i}" for i in range(n)) for n in (80, 55))
+    table = docs(spark, ["short"] * 30 + [weak] * 3 + [good] * 30 + [weak, "short"], ["bad"] * 33 + ["fine"] * 31 + [None])
+    got = {r.doc_id: (r.kept, r.rate_short) for r in quality_rules.quality_verdicts(table, limits=quality_rules.Limits(hot_share=share)).collect()}
+    assert len(got) == 65 and [got[i][0] for i in (30, 33, 63)] == [False, True, True]
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    names = {c: F.lit(f"own {c}") for c in ("_w", "_text", "_salt", "host", "of", "row", "own_id", "good_id", "body", "of_host", "_mine")}
+    table = docs(spark, [" ".join(f"w{i}" for i in range(100_000)), "short"]).withColumns(names)
+    kept = quality_rules.keep_good(table)
+    assert kept.columns == table.columns and [r.doc_id for r in kept.collect()] == [0] and all(kept.first()[c] == f"own {c}" for c in names)
+    assert {c: quality_rules.quality_verdicts(table).first()[c] for c in names} == {c: f"own {c}" for c in names}
+
+
 def test_rules_on_empty_tables_and_clashing_columns(spark):
     assert quality_rules.quality_verdicts(docs(spark, [])).count() == 0
     clash = docs(spark, ["a b"]).withColumns({"kept": F.lit("x"), "n_words": F.lit(-1), "host": F.lit("h")})
@@ -79,6 +129,24 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, [common] * 4, ids=[None, 1, 2, 3])).filter("n_dropped = 1").count() == 3
 
 
+@pytest.mark.parametrize("hot", [1e-4, 0.05, 1.0])
+def test_hot_lines_and_clashing_columns(spark, monkeypatch, hot):
+    """A line of a third of all places is dropped alike, broadcast or dealt out; names of the operator's own do not clash."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    texts = [(i, f"Everybody has this line here.\nno. {i // 4} is shared by some of them\nunique {i} {'x' * 30}") for i in range(40)]
+    names = {c: F.lit(f"own {c}") for c in ("_id", "_drop", "_text", "_lines", "t", "at", "h1", "h2", "gone", "gone_id", "holder", "row", "body", "own_id", "lines", "hot", "n")}
+    table = docs(spark, [t for _, t in texts]).withColumns(names)
+    got = line_dedup.dedup_lines(table).withColumn("h", F.sha2("text", 256))
+    assert rows(got, "doc_id", "n_lines", "n_dropped", "h") == lines_by_hand(texts)
+    assert got.columns == [*table.columns, "n_lines", "n_dropped", "h"] and all(got.first()[c] == f"own {c}" for c in names)
+
+
+def test_a_very_long_text_of_lines(spark):
+    long = "\n".join(f"line {i % 50_000} of a very long text" for i in range(200_000))
+    got = rows(line_dedup.dedup_lines(docs(spark, [long] * 3)), "doc_id", "n_lines", "n_dropped")
+    assert got == [(0, 200_000, 200_000), (1, 200_000, 200_000), (2, 200_000, 0)]
+
+
 def hits_by_hand(text, items):
     w, hit, found = dc.words_of(text), set(), set()
     for d, t in items:
@@ -145,3 +213,12 @@ def test_short_items_go_from_documents_with_long_passages(spark):
     for words in (200_000, 5):
         assert {r.doc_id: r.text for r in dc.decontaminate(table, bench, block_words=words).collect()} == want
     assert {r.doc_id: r.clean for r in dc.cleaned_texts(dc.hit_spans(table, bench)).collect()} == want
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_a_very_long_text_and_clashing_names(spark, block):
+    item = " ".join(f"item{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, "short one")], "item_id long, text string")
+    table = docs(spark, ["word " * 400_000 + item + " word" * 400_000]).withColumns({"spans": F.lit("x"), "_spans": F.lit("y")})
+    (r,) = dc.decontaminate(table, bench, block_words=block).collect()
+    assert r.text.split() == ["word"] * 800_000 and (r["spans"], r["_spans"]) == ("x", "y")
