@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, line_dedup, near_dedup, quality_rules, sentencepiece_wfst
-from tessera.llm.common import cut, read
+from tessera.llm.common import cut, discard, read
 from tessera.llm.queries import tokenizer_path
 
 #: Near-duplicates of the pipeline share 0.8 of their word shingles (op7_near_dedup has a contract of its own: 0.85).
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import ROWS, cut, map_lists
+from tessera.llm.common import ROWS, cut, discard, map_lists
 
 SHINGLE, PERCENT = 5, 85
 CHUNKS, SIZE = 12, 8
@@ -371,12 +371,15 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = cut(small, "edges")
+        before, edges = edges, cut(small, "edges")
+        discard(before)
         now = state(edges)
         if now == was:
             break
         was = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.cut_path = edges.cut_path
+    return out
 
 
 def _across(held: DataFrame, nodes: DataFrame, labels: DataFrame, close: int) -> DataFrame:
@@ -442,7 +445,8 @@ def _labelled(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     labels, clusters = components(links), components(stars.filter(F.col("d") <= limits.wide))
     inside = cut(_within(nodes, clusters, labels, texts, rule), "links")
     across = cut(confirmed(_across(held, nodes, clusters, limits.close), texts, rule), "links")
-    labels = components(links.unionByName(inside).unionByName(across))
+    old, labels = labels, components(links.unionByName(inside).unionByName(across))
+    discard(held, texts, stars, links, inside, across, old, clusters)  # the labels stand on their own
     first = nodes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"), F.col("t").alias("component_t"))
     placed = nodes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     found = placed.join(first, "component").drop("component")
