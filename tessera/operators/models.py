@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import argmax, clipped
 
-#: Unlimited depth in the reference; Spark ML stops at 30.
+#: The deepest that Spark ML grows a tree; unlimited depth is not to be had.
 CLASSIFIERS: dict[str, Callable] = {
     "random_forest": lambda seed, trees=300, depth=30: RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", weightCol="weight", seed=seed, labelCol="y"),
     "logistic_regression": lambda seed, **_: LogisticRegression(elasticNetParam=0.0, regParam=0.01, weightCol="weight", labelCol="y"),
