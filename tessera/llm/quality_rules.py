@@ -1,15 +1,25 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Every document gets a handful of counts and rule outcomes. The outcomes are added up by host, each host's
-failure rate is shrunk towards a beta prior fitted to all hosts (empirical Bayes, by moments), and the host's
+failure rate is shrunk towards a beta prior fitted to all hosts (empirical Bayes, by weighted moments), and the host's
 verdict is joined back to its documents.
 
-A document is dropped if it breaks a base rule, or if its host fails a rule too often *and* the document breaks
-the stricter form of that rule. So a clean document stays whatever its host is.
+A document is dropped if it breaks a base rule, or if its host fails a rule clearly more often than hosts do *and* the
+document breaks the stricter form of that rule. So a clean document stays whatever its host is.
+
+*Prior.* For a rule let host i have n_i documents, k_i of which fail, N documents and H hosts in all, m = sum k / N. Chance
+alone makes S = sum n_i (k_i / n_i - m)^2 about (H - 1) m (1 - m); what is beyond it tells the correlation within hosts,
+
+    rho = (S - (H - 1) m (1 - m)) / (m (1 - m) (N - sum n_i^2 / N - (H - 1))),
+
+and the prior is Beta(m w, (1 - m) w) with w = (1 - rho) / rho, one document at least. Where hosts differ by no more than chance
+(rho <= 0), or where there is nothing to tell it from, w is N. A host is suspect if its shrunk rate is over
+``host_excess`` times m.
 
 Defined results: null or empty text has 0 words and fails the length rule; a null host is a host of its own;
-repeated rows are counted and returned as often as they occur; other columns are carried along untouched
-(the operator's own columns replace input columns of the same name); an empty table gives an empty table.
+repeated rows are counted and returned as often as they occur; a text of any length is measured whole; other columns are
+carried along untouched whatever their names (the operator's own results replace input columns of the same name); an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,10 +49,10 @@ class Limits:
     strict_repeat_percent: int = 35
     strict_symbol_percent: int = 25
     strict_dup_line_percent: int = 35
-    #: A host is suspect for a rule if its shrunk failure rate reaches this.
-    host_rate: float = 0.5
-    #: Salt values for the join of verdicts to documents: a host may hold a third of all rows.
-    salts: int = 32
+    #: A host is suspect for a rule if its shrunk failure rate is over so many times the rate of all documents.
+    host_excess: float = 1.5
+    #: Hosts with a share of at least so many documents get their verdicts by broadcast: at most 1 / hot_share hosts.
+    hot_share: float = 1e-4
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -80,16 +90,16 @@ def _covered() -> Column:
     return F.aggregate(F.transform(r, lambda p, i: F.coalesce(F.least(F.lit(3), F.get(r, i + 1) - p), F.lit(3))), F.lit(0), lambda a, x: a + x).cast("long")
 
 
-def document_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the counts of COUNTS.
+def document_measures(docs: DataFrame, text: str = "text", host: str = "source", drop: tuple[str, ...] = ()) -> DataFrame:
+    """row (the other columns of ``docs`` in one struct, less ``drop``), of (the host), the counts of COUNTS and n_lines.
 
     Windows are compared by a 64-bit hash within one document only.
     """
-    keep = [c for c in docs.columns if c != text and c not in COUNTS and not c.startswith("_")]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], *[e.alias(n) for n, e in measures(F.col(f"`{text}`")).items()])
-    df = df.withColumns({"_s": _windows(), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_n": F.size("_lines").cast("long"), "n_words": F.size("_w").cast("long")})
+    carried = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in drop]
+    df = docs.select(F.struct(*carried).alias("row"), F.col(f"`{host}`").alias("of"), *[e.alias(n) for n, e in measures(F.col(f"`{text}`")).items()])
+    df = df.withColumns({"_s": _windows(), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_lines": F.size("_lines").cast("long"), "n_words": F.size("_w").cast("long")})
     df = df.drop("_w", "_lines").withColumn("_r", _repeated()).drop("_s")
-    return df.withColumn("n_repeat_words", _covered()).drop("_r").withColumnRenamed("_n", "n_lines")
+    return df.withColumn("n_repeat_words", _covered()).drop("_r")
 
 
 def rule_failures(limits: Limits, strict: bool = False) -> dict[str, Column]:
@@ -104,40 +114,49 @@ def rule_failures(limits: Limits, strict: bool = False) -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, limits: Limits) -> DataFrame:
-    """One row a host: documents, shrunk failure rate and verdict of each rule.
-
-    The prior of a rule is Beta(m*k, (1-m)*k), where m and v are mean and variance of the hosts' raw rates and
-    k = m(1-m)/v - 1. Where v is 0 or k is not positive (hosts alike, or one host), k is the number of documents.
-    """
+def host_verdicts(measured: DataFrame, limits: Limits) -> DataFrame:
+    """One row a host: documents, shrunk failure rate and verdict of each rule."""
     failures = rule_failures(limits)
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("n_docs"), *[F.sum(failures[r].cast("long")).alias(f"k_{r}") for r in RULES])
-    prior = hosts.agg(F.sum("n_docs").alias("all_docs"), *[x for r in RULES for x in (F.avg(F.col(f"k_{r}") / F.col("n_docs")).alias(f"m_{r}"), F.var_pop(F.col(f"k_{r}") / F.col("n_docs")).alias(f"v_{r}"))])
+    hosts = measured.groupBy(F.col("of").alias("host")).agg(F.count("*").alias("n_docs"), *[F.sum(failures[r].cast("long")).alias(f"k_{r}") for r in RULES])
+    prior = hosts.agg(
+        F.count("*").alias("n_hosts"), F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("squares"),
+        *[x for r in RULES for x in (F.sum(f"k_{r}").alias(f"all_{r}"), F.sum(F.col(f"k_{r}").cast("double") * F.col(f"k_{r}") / F.col("n_docs")).alias(f"spread_{r}"))],
+    )
     joined = hosts.join(F.broadcast(prior))  # one row
 
-    def rate(r: str) -> Column:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        k = F.when(v > 1e-12, m * (1 - m) / v - 1)
-        k = F.when(k > 0, k).otherwise(F.col("all_docs").cast("double"))
-        return (F.col(f"k_{r}") + m * k) / (F.col("n_docs") + k)
+    def rate(r: str) -> tuple[Column, Column]:
+        n, m = F.col("all_docs").cast("double"), F.col(f"all_{r}") / F.col("all_docs")
+        chance, room = (F.col("n_hosts") - 1) * m * (1 - m), m * (1 - m) * (n - F.col("squares") / n - (F.col("n_hosts") - 1))
+        rho = F.when(room > 1e-9, (F.col(f"spread_{r}") - n * m * m - chance) / room)
+        w = F.when(rho > 1e-9, F.greatest(F.lit(1.0), (1 - rho) / rho)).otherwise(n)
+        return (F.col(f"k_{r}") + m * w) / (F.col("n_docs") + w), m
 
-    rates = joined.select("host", "n_docs", *[rate(r).alias(f"rate_{r}") for r in RULES])
-    return rates.withColumns({f"suspect_{r}": F.col(f"rate_{r}") >= limits.host_rate for r in RULES})
+    rates = {r: rate(r) for r in RULES}
+    return joined.select("host", "n_docs", "all_docs", *[rates[r][0].alias(f"rate_{r}") for r in RULES], *[(rates[r][0] > limits.host_excess * rates[r][1]).alias(f"suspect_{r}") for r in RULES])
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """Every row of ``docs`` (without its text) with its counts, host rates, ``base_failed`` and ``kept``."""
-    own = {"host", "n_docs", "n_lines", "base_failed", "kept", *COUNTS, *(f"{a}_{r}" for a in ("rate", "suspect") for r in RULES)} - {host}
-    measured = cut(document_measures(docs.drop(*[c for c in docs.columns if c in own]), text), "measures")
-    hosts = host_verdicts(measured, host, limits).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))))
-    salted = measured.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(limits.salts)).cast("int"))
-    joined = salted.join(hosts, (salted["_salt"] == hosts["_salt"]) & salted[host].eqNullSafe(hosts["host"]), "left").drop("_salt", "host")
+    told = ["n_docs", *[f"{a}_{r}" for a in ("rate", "suspect") for r in RULES]]
+    own = {"n_lines", "base_failed", "kept", *COUNTS, *told}
+    measured = cut(document_measures(docs, text, host, tuple(own)), "measures")
+    hosts = cut(host_verdicts(measured, limits), "hosts")
+    # A host may hold a third of all rows: such hosts are few, and their rows stay where they are.
+    hot = F.col("n_docs") >= F.col("all_docs") * limits.hot_share
+    known = F.broadcast(hosts.filter(hot).select("host", F.struct(*told).alias("of_host")))
+    tagged = measured.join(known, F.col("of").eqNullSafe(F.col("host")), "left").drop("host")
+    cold = tagged.filter(F.col("of_host").isNull()).drop("of_host").join(hosts.filter(~hot).select("host", F.struct(*told).alias("of_host")), F.col("of").eqNullSafe(F.col("host"))).drop("host")
+    joined = tagged.filter(F.col("of_host").isNotNull()).unionByName(cold)
     base, strict = rule_failures(limits), rule_failures(limits, True)
     failed = base["short"] | base["repeats"]
     on_host = F.lit(False)
     for r in RULES:
-        on_host = on_host | (F.col(f"suspect_{r}") & strict[r])
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~on_host})
+        on_host = on_host | (F.col("of_host").getField(f"suspect_{r}") & strict[r])
+    carried = [c for c in docs.columns if c != text and c not in own]
+    return joined.select(
+        *[F.col("row").getField(c).alias(c) for c in carried], *COUNTS, "n_lines", *[F.col("of_host").getField(c).alias(c) for c in told],
+        failed.alias("base_failed"), (~failed & ~on_host).alias("kept"),
+    )
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -145,7 +164,9 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", limits:
 
     Rows meet their verdict by (doc_id, 64-bit text hash), so a doc_id with several texts keeps them apart.
     """
-    keyed = docs.withColumn("_text", F.xxhash64(F.col(f"`{text}`")))
-    slim = keyed.select("doc_id", F.col(f"`{host}`").alias("source_"), F.col("_text").alias("text_key"), F.col(f"`{text}`").alias("text"))
-    good = quality_verdicts(slim, "source_", "text", limits).filter("kept").select("doc_id", "text_key").distinct()
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(good["doc_id"]) & (keyed["_text"] == good["text_key"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(F.col(f"`{text}`"))
+    slim = docs.select(F.col("doc_id").alias("good_id"), F.col(f"`{host}`").alias("host_of"), key.alias("good_key"), F.col(f"`{text}`").alias("body"))
+    good = quality_verdicts(slim, "host_of", "body", limits).filter("kept").select("good_id", "good_key", F.col("host_of").alias("good_host")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), key.alias("own_key"), F.col(f"`{host}`").alias("own_host"))
+    same = F.col("own_id").eqNullSafe(F.col("good_id")) & (F.col("own_key") == F.col("good_key")) & F.col("own_host").eqNullSafe(F.col("good_host"))
+    return whole.join(good, same, "left_semi").select("row.*")

@@ -29,14 +29,14 @@ m AS (SELECT s.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(re
 fails AS (SELECT *, n_words < 50 AS f1, n_repeat_words * 100 > 50 * n_words AS f2, n_symbols * 100 > 50 * n_words AS f3, n_dup_lines * 100 > 50 * n_lines AS f4,
              n_words < 60 AS s1, n_repeat_words * 100 > 35 * n_words AS s2, n_symbols * 100 > 25 * n_words AS s3, n_dup_lines * 100 > 35 * n_lines AS s4 FROM m),
 hosts AS (SELECT source, count(*) AS n, sum(f1::INT)::DOUBLE AS k1, sum(f2::INT)::DOUBLE AS k2, sum(f3::INT)::DOUBLE AS k3, sum(f4::INT)::DOUBLE AS k4 FROM fails GROUP BY source),
-prior AS (SELECT sum(n)::DOUBLE AS total, avg(k1 / n) AS m1, var_pop(k1 / n) AS v1, avg(k2 / n) AS m2, var_pop(k2 / n) AS v2,
-                 avg(k3 / n) AS m3, var_pop(k3 / n) AS v3, avg(k4 / n) AS m4, var_pop(k4 / n) AS v4 FROM hosts),
-strength AS (SELECT *, CASE WHEN v1 > 1e-12 AND m1 * (1 - m1) / v1 - 1 > 0 THEN m1 * (1 - m1) / v1 - 1 ELSE total END AS t1,
-                 CASE WHEN v2 > 1e-12 AND m2 * (1 - m2) / v2 - 1 > 0 THEN m2 * (1 - m2) / v2 - 1 ELSE total END AS t2,
-                 CASE WHEN v3 > 1e-12 AND m3 * (1 - m3) / v3 - 1 > 0 THEN m3 * (1 - m3) / v3 - 1 ELSE total END AS t3,
-                 CASE WHEN v4 > 1e-12 AND m4 * (1 - m4) / v4 - 1 > 0 THEN m4 * (1 - m4) / v4 - 1 ELSE total END AS t4 FROM prior),
-verdict AS (SELECT source, (k1 + m1 * t1) / (n + t1) >= 0.5 AS h1, (k2 + m2 * t2) / (n + t2) >= 0.5 AS h2,
-                 (k3 + m3 * t3) / (n + t3) >= 0.5 AS h3, (k4 + m4 * t4) / (n + t4) >= 0.5 AS h4 FROM hosts, strength)
+prior AS (SELECT count(*) AS h, sum(n)::DOUBLE AS total, sum(n::DOUBLE * n) AS n2,
+                 sum(k1) / sum(n) AS m1, sum(k1 * k1 / n) AS s1, sum(k2) / sum(n) AS m2, sum(k2 * k2 / n) AS s2, sum(k3) / sum(n) AS m3, sum(k3 * k3 / n) AS s3, sum(k4) / sum(n) AS m4, sum(k4 * k4 / n) AS s4 FROM hosts),
+rho AS (SELECT *, CASE WHEN m1 * (1 - m1) * (total - n2 / total - (h - 1)) > 1e-9 THEN (s1 - total * m1 * m1 - (h - 1) * m1 * (1 - m1)) / (m1 * (1 - m1) * (total - n2 / total - (h - 1))) ELSE 0 END AS r1,
+                 CASE WHEN m2 * (1 - m2) * (total - n2 / total - (h - 1)) > 1e-9 THEN (s2 - total * m2 * m2 - (h - 1) * m2 * (1 - m2)) / (m2 * (1 - m2) * (total - n2 / total - (h - 1))) ELSE 0 END AS r2,
+                 CASE WHEN m3 * (1 - m3) * (total - n2 / total - (h - 1)) > 1e-9 THEN (s3 - total * m3 * m3 - (h - 1) * m3 * (1 - m3)) / (m3 * (1 - m3) * (total - n2 / total - (h - 1))) ELSE 0 END AS r3,
+                 CASE WHEN m4 * (1 - m4) * (total - n2 / total - (h - 1)) > 1e-9 THEN (s4 - total * m4 * m4 - (h - 1) * m4 * (1 - m4)) / (m4 * (1 - m4) * (total - n2 / total - (h - 1))) ELSE 0 END AS r4 FROM prior),
+strength AS (SELECT *, CASE WHEN r1 > 1e-9 THEN greatest(1.0, (1 - r1) / r1) ELSE total END AS t1, CASE WHEN r2 > 1e-9 THEN greatest(1.0, (1 - r2) / r2) ELSE total END AS t2, CASE WHEN r3 > 1e-9 THEN greatest(1.0, (1 - r3) / r3) ELSE total END AS t3, CASE WHEN r4 > 1e-9 THEN greatest(1.0, (1 - r4) / r4) ELSE total END AS t4 FROM rho),
+verdict AS (SELECT source, (k1 + m1 * t1) / (n + t1) > 1.5 * m1 AS h1, (k2 + m2 * t2) / (n + t2) > 1.5 * m2 AS h2, (k3 + m3 * t3) / (n + t3) > 1.5 * m3 AS h3, (k4 + m4 * t4) / (n + t4) > 1.5 * m4 AS h4 FROM hosts, strength)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND NOT ((h1 AND s1) OR (h2 AND s2) OR (h3 AND s3) OR (h4 AND s4)) AS kept
 FROM fails JOIN verdict ON fails.source IS NOT DISTINCT FROM verdict.source
