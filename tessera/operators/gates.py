@@ -52,6 +52,14 @@ def same_run(manifests: DataFrame, *fields: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def composed(parts: dict[str, DataFrame]) -> DataFrame:
+    """gate, n_violations, status (PASS or FAIL) of violation tables by gate, and a last row ``all``."""
+    counts = [v.agg(F.count("*").alias("n_violations")).select(F.lit(g).alias("gate"), "n_violations") for g, v in parts.items()]
+    rows = reduce(DataFrame.unionByName, counts)
+    both = rows.unionByName(rows.agg(F.sum("n_violations").alias("n_violations")).select(F.lit("all").alias("gate"), "n_violations"))
+    return both.withColumn("status", F.when(F.col("n_violations") == 0, "PASS").otherwise("FAIL"))
+
+
 def run_gates(per_class: DataFrame, summary: DataFrame, dominance: DataFrame, calibrated: DataFrame, min_macro: float = 0.70, min_class: float = 0.50, max_ratio: float = 1.15, min_calibrated: float = 0.65) -> DataFrame:
     """status: CERTIFIED_WINNER if every threshold holds, else FALLBACK."""
     facts = summary.select(F.col("macro_f1").alias("m")).crossJoin(per_class.agg(F.min("f1").alias("least"))).crossJoin(dominance.agg(F.max("ratio").alias("r"))).crossJoin(calibrated.select(F.col("macro_f1").alias("c")))

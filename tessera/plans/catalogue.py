@@ -858,6 +858,24 @@ def q47_cache_preflight(spark, d):
     return missing_cache(c.read(spark, d, "documents").select("doc_id"), c.read(spark, d, "labels").select("doc_id"), "doc_id").groupBy("check").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {VAL}, a AS (SELECT id, 'train' AS part FROM folded UNION ALL SELECT DISTINCT id, part FROM val), g AS (
+SELECT 'probabilities' AS gate, CAST(count_if(abs(s - 1) > 1e-5 OR lo < 0) AS BIGINT) AS n_violations FROM (SELECT id, sum(p) AS s, min(p) AS lo FROM val GROUP BY id)
+UNION ALL SELECT 'isolation', CAST(count_if(k > 1) AS BIGINT) FROM (SELECT id, count(DISTINCT part) AS k FROM a GROUP BY id)
+UNION ALL SELECT 'labels', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), t AS (SELECT * FROM g UNION ALL SELECT 'all', CAST(sum(n_violations) AS BIGINT) FROM g)
+SELECT gate, n_violations, CASE WHEN n_violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM t"""
+)
+def q47_composed_gates(spark, d):
+    """Probabilities are valid, training and validation rows are apart, every document has labels (many have none)."""
+    from tessera.operators.gates import composed, missing_cache, probability_validity
+
+    preds = c.holdout_predictions(spark, d, "val")
+    parts = preds.select("id", "part").unionByName(c.folded(spark, d).select("id", F.lit("train").alias("part")))
+    shared = parts.groupBy("id").agg(F.count_distinct("part").alias("k")).filter("k > 1")
+    labelled = missing_cache(c.read(spark, d, "documents").select("doc_id"), c.read(spark, d, "labels").select("doc_id"), "doc_id")
+    return composed({"probabilities": probability_validity(preds, len(c.CLASSES)), "isolation": shared, "labels": labelled.filter("check = 'missing'")})
+
+
 MANIFESTS = [(0, "x1", 1298, True), (1, "x1", 1298, False), (2, "x2", 1298, True), (3, "x1", 1316, True), (4, None, 1298, True)]
 
 

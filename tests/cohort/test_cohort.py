@@ -1,5 +1,7 @@
 """Labels, lineage, duplicates, splits, files and descriptors."""
 
+import datetime
+import json
 import struct
 import zlib
 
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from tessera.config import Config, check_domain
 from tessera.functions import image_files, images
 from tessera.functions.columns import id_of_filename, normalize_key, parent_key, ranked, seeded
-from tessera.operators import audit, dedup, descriptors, features, inference, labels, lineage, significance, splits
+from tessera.operators import audit, dedup, descriptors, features, gates, inference, labels, lineage, significance, splits
 from tessera.sources import files, sinks
 from tessera.sources.sinks import written
+from tessera.streaming import incremental
 
 
 def test_keys(spark):
@@ -239,6 +242,50 @@ def test_sinks(spark, tmp_path):
     assert sinks.metadata_digest(df).first() == sinks.metadata_digest(df.repartition(3)).first()
 
 
+def test_manifests_and_saved_tables(spark, tmp_path):
+    items = spark.createDataFrame([(1, "train", "x"), (2, "val", "x"), (3, "train", "y")], "id int, split string, cls string")
+    one, two = (json.loads(sinks.dataset_manifest(x, Config(), run=7)) for x in (items, items.repartition(3)))
+    assert one == two and one["counts"] == {"train/x": 1, "train/y": 1, "val/x": 1} and one["n"] == 3 and one["run"] == 7
+    assert json.loads(sinks.dataset_manifest(items.filter("id < 3"), Config(), run=7))["sha256"] != one["sha256"]
+    arm = spark.createDataFrame([("A", 0.5)], "arm string, macro_f1 double")
+    tests = spark.createDataFrame([("A", "B", 1, 2)], "winner string, other string, n01 long, n10 long")
+    assert json.loads(sinks.winner_json(arm, tests))["evidence"][0]["n10"] == 2
+    with pytest.raises(ValueError):
+        sinks.winner_json(arm.limit(0), tests)
+    sinks.save_tables(f"{tmp_path}/m", items=items, arm=arm)
+    assert {k: v.count() for k, v in sinks.load_tables(spark, f"{tmp_path}/m").items()} == {"items": 3, "arm": 1}
+    arm.withColumn("macro_f1", F.lit(0.6)).write.mode("overwrite").parquet(f"{tmp_path}/m/arm")
+    with pytest.raises(ValueError, match="arm"):
+        sinks.load_tables(spark, f"{tmp_path}/m")
+
+
+def test_running_counts_of_a_stream(spark, tmp_path):
+    """What arrives in two files is counted as the batch operator counts it; a repeated item is new once."""
+    schema = "id int, source string, cls string, ts timestamp, value int"
+    rows = [(i, f"s{i % 2}", "xyz"[i % 3], datetime.datetime(2024, 1, 1, 0, i), i) for i in range(12)]
+    spark.createDataFrame(rows[:7], schema).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame(rows[5:], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    counts = run(incremental.running_inventory(arriving()), "inventory", "complete")
+    batch = spark.read.schema(schema).parquet(f"{tmp_path}/in")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, incremental.running_inventory(batch).collect()))
+    new = run(incremental.new_items(arriving(), "id", "ts", "1 hour"), "fresh", "append")
+    assert sorted(r.id for r in new.collect()) == list(range(12))
+    windows = run(incremental.windowed_counts(arriving(), "ts", "source", "5 minutes", "1 hour"), "windows", "update")
+    assert sum(r.n for r in windows.groupBy("window", "source").agg(F.max("n").alias("n")).collect()) == batch.count()
+
+
+def test_composed_gates(spark):
+    none, two = spark.range(0), spark.range(2)
+    got = {r.gate: (r.n_violations, r.status) for r in gates.composed({"a": none, "b": two}).collect()}
+    assert got == {"a": (0, "PASS"), "b": (2, "FAIL"), "all": (2, "FAIL")}
+
+
 def test_config():
     assert Config().experiment_id("b") == Config().experiment_id("b") != Config(seed=1).experiment_id("b")
     check_domain(classifier="random_forest", selector="bda")
