@@ -5,7 +5,10 @@
    repeat in a segment filed under the same anchor hash; a text has about one segment in 40 bytes. Rows hold hashes
    and places, no texts.
 2. *Copies.* Segments under one anchor come in order of content and place. Of segments that are equal to the byte (128
-   bits of hashes), all but the first are repeats whole. Anchors that have several different segments stay open.
+   bits of hashes), all but the first are repeats whole. Anchors that have several different segments stay open. Each task
+   does this for its own segments first, so that a passage of many documents is one row a task; and where one task has
+   FORMS different segments of an anchor, they stay open without meeting the other tasks' there (a mark of theirs does),
+   so an anchor on the border of such a passage fills no task either.
 3. *Suffix arrays.* The bytes of the open segments' first copies are dealt to shards by anchor; each shard sorts its
    suffixes by Larsson and Sadakane's refinement (groups that are still equal are split by the ranks one doubling
    ahead), gets common prefixes by Kasai's recurrence (all segments side by side in numpy) and finds the first place
@@ -31,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.common import ROWS, cut
 
@@ -41,6 +45,10 @@ DEPTH = 128
 STRETCH = 1 << 19
 #: Bytes of one suffix-array shard, and segments of one anchor kept in one shard.
 SHARD_BYTES, HOT = 1_500_000, 512
+#: Rows that a task compares among themselves, and different segments of an anchor from which they stay open at once.
+OWN_ROWS, FORMS = 1_500_000, 64
+#: Kinds of rows: to be compared with other tasks'; a repeat; open; a mark that an anchor has open segments elsewhere.
+FIRST_HERE, REPEAT, OPEN, MARK = range(4)
 FIRST = -(2**63)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -83,20 +91,53 @@ def segments(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _source(docs: DataFrame, text: str) -> DataFrame:
-    """o (place of the document in the order), text."""
+    """o (place of the document in the order), text, t (checksum of the text)."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("o"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")) - 2**31).cast("int").alias("t"))
 
 
+def _own_copies(rows: tuple[np.ndarray, ...], forms: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """v, c, o, t, lo, n of one task, sorted out: with a kind each. Rows that are not compared further are dealt by their place, not by anchor."""
+    v, c, o, t, lo, n = rows
+    # Equal segments side by side (by a mix of both hashes, the anchor beside it); those of several places in order.
+    by = np.argsort(v * np.int64(-7046029254386353131) + c)
+    v, c = v[by], c[by]
+    new = np.concatenate([[True], (v[1:] != v[:-1]) | (c[1:] != c[:-1])])
+    several = np.flatnonzero(~(new & np.append(new[1:], True)))
+    group = np.cumsum(new)[several]
+    by[several] = by[several][np.lexsort((t[by[several]], lo[by[several]], o[by[several]], group))]
+    o, t, lo, n = (x[by] for x in (o, t, lo, n))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    again = (o != o[head]) | (lo != lo[head])  # other texts under the first one's doc_id stay
+    anchors, anchor = np.unique(v, return_inverse=True)
+    hot = np.bincount(anchor, new, len(anchors)) >= forms
+    many = hot[anchor]
+    kind = np.where(again, REPEAT, np.where(many, OPEN, FIRST_HERE)).astype(np.int8)
+    anywhere = ((o + lo) * np.int64(-7046029254386353131)) ^ (lo << 17)
+    yield np.where(kind == FIRST_HERE, v, anywhere), np.where(kind == OPEN, v, c), o, t, lo, n, kind
+    marked = anchors[hot]
+    nil = np.zeros(len(marked), "<i8")
+    yield marked, nil + FIRST, nil, nil, nil, nil, np.full(len(marked), MARK, np.int8)
+
+
 def _segment_rows(source: DataFrame) -> DataFrame:
-    """v (anchor), c (content), o, t, lo (first window), n (windows)."""
+    """v (anchor, or where a row is dealt), c (content, or the anchor of open rows), o, t, lo (first window), n (windows), kind."""
+    forms, most = FORMS, OWN_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        got, size = [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for part in _own_copies(tuple(np.concatenate(x).astype("<i8") for x in zip(*got)), forms):
+                for at in range(0, len(part[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in part], names=["v", "c", "o", "t", "lo", "n", "kind"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                part, got = batch.slice(at, ROWS), []
-                for o, text, t in zip(*(c.to_pylist() for c in part.columns)):
+                for o, text, t in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
                     raw = text.encode()
                     if len(raw) < LENGTH:
                         continue
@@ -104,10 +145,14 @@ def _segment_rows(source: DataFrame) -> DataFrame:
                     view = memoryview(raw)
                     c = np.fromiter((xxh3_64_intdigest(view[a:z]) for a, z in zip(lo.tolist(), (lo + n + (LENGTH - 1)).tolist())), np.uint64, len(lo))
                     got.append((v, c.view("<i8"), np.full(len(v), o), np.full(len(v), t), lo, n))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("<i8")) for x in zip(*got)], names=["v", "c", "o", "t", "lo", "n"])
+                    size += len(v)
+                if size > most:
+                    yield from settle()
+                    got, size = [], 0
+        if got:
+            yield from settle()
 
-    return source.mapInArrow(run, "v long, c long, o long, t long, lo long, n long").selectExpr("v", "c", "o", "cast(t as int) t", "cast(lo as int) lo", "cast(n as int) n")
+    return source.mapInArrow(run, "v long, c long, o long, t long, lo long, n long, kind byte").selectExpr("v", "c", "o", "cast(t as int) t", "cast(lo as int) lo", "cast(n as int) n", "kind")
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -121,7 +166,14 @@ def _copies(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, c, o, t, lo, n = (x.to_numpy(zero_copy_only=False).astype("<i8") for x in batch.columns)
+            v, c, o, t, lo, n, kind = (x.to_numpy(zero_copy_only=False).astype("<i8") for x in batch.columns)
+            done = (kind == REPEAT) | (kind == OPEN)
+            if done.any():
+                columns = (kind == OPEN, np.where(kind == OPEN, c, v), o, t.astype("<i4"), lo.astype("<i4"), n.astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in columns], names=["open", "v", "o", "t", "lo", "n"])
+                v, c, o, t, lo, n = (x[~done] for x in (v, c, o, t, lo, n))
+            if not len(v):
+                continue
             held = last is not None
             if held:
                 v, c, o, t, lo, n = (np.concatenate([[a], x]) for a, x in zip(last, (v, c, o, t, lo, n)))
@@ -145,6 +197,8 @@ def _copies(rows: DataFrame) -> DataFrame:
             previous_told = told
             last = (v[k], c[k], o[k], t[k], lo[k], n[k])
             told = was_open or (held and previous_told and k == 0)
+            # Marks are segments of no windows: they make their anchor's segments open and are not handed on.
+            out_open, again = out_open[n[out_open] > 0], again[n[again] > 0]
             take = np.concatenate([out_open, again])
             if len(take):
                 flags = np.zeros(len(take), bool)
@@ -160,7 +214,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype("<u8")
-    sa = np.argsort(words, kind="stable")
+    sa = np.argsort(words)
     sorted_words = words[sa]
     start = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -176,7 +230,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(todo):
             return sa
         ahead = rank[np.minimum(sa[todo] + h, n)]
-        order = np.lexsort((ahead, group[todo]))
+        order = np.argsort(group[todo] * (n + 2) + ahead + 1)
         sa[todo] = sa[todo][order]
         g, a = group[todo], ahead[order]
         start[todo[1:]] |= (a[1:] != a[:-1]) & (g[1:] == g[:-1])
@@ -293,6 +347,8 @@ def _shards(rows: DataFrame) -> DataFrame:
             yield from settle(held)
 
     many = rows.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.when(F.col("_n") > HOT, F.ceil(F.col("_n") / HOT)).otherwise(0).cast("int").alias("salts"))
+    # Dealt out anew, so that the join's sides are plain exchanges and an anchor with many rows is split over tasks.
+    many = many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = rows.join(many, "v").withColumn("salt", F.when(F.col("salts") > 0, F.pmod(F.xxhash64("o", "t", "lo"), F.col("salts"))).otherwise(0).cast("int"))
     dealt = salted.select("v", "salt", "salts", "o", "t", "lo", "part").repartition("v", "salt").sortWithinPartitions("v", "salt")
     return dealt.mapInArrow(run, _SHARD_DDL)

@@ -38,9 +38,12 @@ def test_whole_table(spark):
     assert ours(QUERIES["op8_suffix_dedup"](spark, SF)) == brute(texts)
 
 
-@pytest.mark.parametrize("hot", [512, 3])
-def test_hard_texts(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, forms, rows", [(512, 64, 10**6), (3, 64, 10**6), (3, 2, 10**6), (512, 3, 50), (2, 2, 40)])
+def test_hard_texts(spark, monkeypatch, hot, forms, rows):
+    """Whatever is spread over shards, kept open within tasks, or compared in small parts."""
     monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "FORMS", forms)
+    monkeypatch.setattr(sd, "OWN_ROWS", rows)
     rng = np.random.default_rng(hot)
     word = lambda n: "".join(rng.choice(list("abcdeé \n"), n))
     shared, other = word(180), word(130)
@@ -68,10 +71,19 @@ def test_suffix_array_and_prefixes():
     text[300:500] = text[50:250]
     sa = sd.suffix_array(text)
     raw = text.tobytes()
-    assert sorted(range(700), key=lambda i: raw[i : i + 128]) == sorted(sa.tolist(), key=lambda i: raw[i : i + 128])
+    assert sorted(sa.tolist()) == list(range(700))
     assert all(raw[a : a + 128] <= raw[b : b + 128] for a, b in zip(sa[:-1], sa[1:]))
     shared = sd.common_prefixes(text, sa, np.array([0, 300, 350]))
     for k in range(1, 700):
         a, b = raw[sa[k - 1] :], raw[sa[k] :]
         want = next((i for i in range(100) if i >= len(a) or i >= len(b) or a[i] != b[i]), 100)
         assert min(shared[k], 100) == want
+
+
+def test_a_very_long_text_and_doc_ids_that_are_no_integers(spark):
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcdefgh "), 1_300_000))
+    got = ours(sd.removals(docs(spark, [long, "x" + long[600_000:600_300] + "y"])))
+    assert [g[:4] for g in got] == [(0, 1_300_000, 0, 0), (1, 302, 300, 1)]
+    with pytest.raises(TypeError):
+        sd.removals(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
