@@ -12,8 +12,9 @@
 3. *Suffix arrays.* The bytes of the open segments' first copies are dealt to shards by anchor; each shard sorts its
    suffixes by Larsson and Sadakane's refinement (groups that are still equal are split by the ranks one doubling
    ahead), gets common prefixes by Kasai's recurrence (all segments side by side in numpy) and finds the first place
-   of each repeated window. An anchor with very many segments is spread over several shards; their sorted distinct
-   windows are merged by binary search, in buckets.
+   of each repeated window. An anchor with very many segments is spread over several shards; 128-bit hashes of their
+   distinct windows, sorted, are merged by binary search, in buckets. The larger the input, the more anchors have many
+   segments, so "very many" follows from a task's share of all segments, and a window is shipped as its hash and place.
 4. *Removal.* Repeated windows go back to their documents, which lose the bytes under them.
 
 Places are ordered by (doc_id, start): "earlier" means a smaller doc_id, or the same doc_id and a smaller start. Strings
@@ -27,7 +28,6 @@ by start; texts shorter than LENGTH bytes keep everything; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import ROWS, cut
+from tessera.llm.common import ROWS, cut, pack, release, unpack
 
 LENGTH, GRAM = 100, 24
 #: Bytes by which suffixes are ordered; a power of two, over LENGTH.
 DEPTH = 128
 #: Windows gone through at once in a long text (their places must fit 20 bits).
 STRETCH = 1 << 19
-#: Bytes of one suffix-array shard, and segments of one anchor kept in one shard.
-SHARD_BYTES, HOT = 1_500_000, 512
+#: Bytes of one suffix-array shard; segments of one anchor kept in one shard at least, and how many times that at most.
+SHARD_BYTES, HOT, HOT_TIMES = 1_500_000, 512, 8
 #: Rows that a task compares among themselves, and different segments of an anchor from which they stay open at once.
 OWN_ROWS, FORMS = 1_500_000, 64
 #: Kinds of rows: to be compared with other tasks'; a repeat; open; a mark that an anchor has open segments elsewhere.
@@ -305,14 +305,21 @@ def _runs(o: np.ndarray, t: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...
     return o[f], t[f], lo[f], np.diff(np.append(f, len(o)))
 
 
-_SHARD = pa.schema([("o", pa.int64()), ("t", pa.int32()), ("lo", pa.int32()), ("n", pa.int32()), ("v", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
-_SHARD_DDL = "o long, t int, lo int, n int, v long, bucket int, keys binary, places binary"
+_SHARD = pa.schema([("o", pa.int64()), ("t", pa.int32()), ("lo", pa.int32()), ("n", pa.int32()), ("v", pa.int64()), ("bucket", pa.int32()), ("windows", pa.binary())])
+_SHARD_DDL = "o long, t int, lo int, n int, v long, bucket int, windows binary"
 
 
-def _shards(rows: DataFrame) -> DataFrame:
-    """Repeated windows (o, t, lo, n) of the open segments; of spread anchors also sorted distinct windows (v, bucket, keys, places)."""
+def _hot(n: int, parts: int) -> int:
+    """Segments of one anchor kept in one shard: an eighth of a task's share of ``n``, within HOT and HOT_TIMES as many."""
+    return min(max(HOT, n // (8 * parts)), HOT * HOT_TIMES)
+
+
+def _shards(rows: DataFrame, hot: int) -> DataFrame:
+    """Repeated windows (o, t, lo, n) of the open segments; of anchors over ``hot`` also distinct windows, packed and sorted by hash (v, bucket, windows)."""
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         v, salts, o, t, lo = (np.array([h[i] for h in held], "<i8") for i in range(5))
         parts = [h[5] for h in held]
         segment, offset, classes, repeat = repeated_windows(parts, o, lo)
@@ -325,13 +332,16 @@ def _shards(rows: DataFrame) -> DataFrame:
             mine = spread[v[segment[spread]] == anchor]
             # One of each class: places may tie where rows repeat a doc_id.
             mine = mine[np.unique(classes[mine], return_index=True)[1]]
-            keys = [parts[s][a : a + LENGTH] for s, a in zip(segment[mine], offset[mine])]
-            n_buckets = int(salts[segment[mine[0]]])
-            bucket = np.array([zlib.crc32(k) % n_buckets for k in keys])
-            places = np.stack([o[segment[mine]], t[segment[mine]], lo[segment[mine]] + offset[mine]], 1).astype("<i8")
+            hashes = np.frombuffer(b"".join(xxh3_128_digest(parts[s][a : a + LENGTH]) for s, a in zip(segment[mine].tolist(), offset[mine].tolist())), ">u8").astype("<u8").reshape(-1, 2)
+            by = np.lexsort((hashes[:, 1], hashes[:, 0]))
+            hashes, mine = hashes[by], mine[by]
+            n_buckets = np.uint64(salts[segment[mine[0]]])
+            bucket = (hashes[:, 0] % n_buckets).astype(int)
+            where = segment[mine]
+            columns = (hashes[:, 0], hashes[:, 1], o[where], t[where].astype("<i4"), (lo[where] + offset[mine]).astype("<i4"))
             for b in np.unique(bucket):
                 pick = np.flatnonzero(bucket == b)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_SHARD)[:4]), pa.array([anchor], pa.int64()), pa.array([b], pa.int32()), pa.array([b"".join(keys[i] for i in pick)]), pa.array([places[pick].tobytes()])], schema=_SHARD)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_SHARD)[:4]), pa.array([anchor], pa.int64()), pa.array([b], pa.int32()), pa.array([pack(*(x[pick] for x in columns))])], schema=_SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
@@ -346,7 +356,7 @@ def _shards(rows: DataFrame) -> DataFrame:
         if held:
             yield from settle(held)
 
-    many = rows.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.when(F.col("_n") > HOT, F.ceil(F.col("_n") / HOT)).otherwise(0).cast("int").alias("salts"))
+    many = rows.groupBy("v").agg(F.count("*").alias("_n")).select("v", F.when(F.col("_n") > hot, F.ceil(F.col("_n") / hot)).otherwise(0).cast("int").alias("salts"))
     # Dealt out anew, so that the join's sides are plain exchanges and an anchor with many rows is split over tasks.
     many = many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = rows.join(many, "v").withColumn("salt", F.when(F.col("salts") > 0, F.pmod(F.xxhash64("o", "t", "lo"), F.col("salts"))).otherwise(0).cast("int"))
@@ -357,11 +367,12 @@ def _shards(rows: DataFrame) -> DataFrame:
 def _merge(runs: DataFrame) -> DataFrame:
     """Windows (o, t, lo, n) of spread anchors that come earlier in another shard: sorted runs are merged by binary search."""
 
-    def settle(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch | None:
-        keys, places = np.zeros(0, f"S{LENGTH}"), np.zeros((0, 3), np.int64)
+    def settle(held: list[bytes]) -> pa.RecordBatch | None:
+        keys, places = np.zeros(0, "S16"), np.zeros((0, 3), np.int64)
         late = []
-        for k, p in held:
-            new, at = np.frombuffer(k, f"S{LENGTH}"), np.frombuffer(p, "<i8").reshape(-1, 3)
+        for body in held:
+            high, low, *at = unpack(body)
+            new, at = np.stack([high, low], 1).astype(">u8").view("S16").ravel(), np.stack(at, 1).astype(np.int64)
             i = np.searchsorted(keys, new)
             hit = np.zeros(len(new), bool)
             inside = i < len(keys)
@@ -381,23 +392,25 @@ def _merge(runs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for v, b, k, p in zip(*(c.to_pylist() for c in batch.columns)):
+            for v, b, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if (v, b) != key:
                     if held and (out := settle(held)):
                         yield out
                     key, held = (v, b), []
-                held.append((k, p))
+                held.append(body)
         if held and (out := settle(held)):
             yield out
 
-    dealt = runs.filter("bucket IS NOT NULL").select("v", "bucket", "keys", "places").repartition("v", "bucket").sortWithinPartitions("v", "bucket")
+    dealt = runs.filter("bucket IS NOT NULL").select("v", "bucket", "windows").repartition("v", "bucket").sortWithinPartitions("v", "bucket")
     return dealt.mapInArrow(run, "o long, t int, lo int, n int")
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """o, t, text and spans (array of (lo, n): repeated windows in a row) of every document."""
-    source = _source(docs, text)
+    spark, source = docs.sparkSession, _source(docs, text)
     found = cut(_copies(_segment_rows(source)), "segments")
+    hot = _hot(found.filter("open").count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    release(spark)
     distinct = source.select("o", "t", "text")
     wanted = found.filter("open").groupBy("o", "t").agg(F.collect_list(F.struct("v", "lo", "n")).alias("want"))
 
@@ -416,7 +429,9 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
 
     opened = distinct.join(wanted, ["o", "t"]).dropDuplicates(["o", "t"]).select("o", "t", "text", "want").mapInArrow(fetch, "v long, o long, t int, lo int, part binary")
-    sharded = cut(_shards(opened), "suffixes")
+    sharded = cut(_shards(opened, hot), "suffixes")
+    del opened, wanted
+    release(spark)
     spans = found.filter("NOT open").select("o", "t", "lo", "n").unionByName(sharded.filter("o IS NOT NULL").select("o", "t", "lo", "n")).unionByName(_merge(sharded))
     by_doc = spans.groupBy("o", "t").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     return distinct.join(by_doc, ["o", "t"], "left").select("o", "t", "text", "spans")

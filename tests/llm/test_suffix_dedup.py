@@ -87,3 +87,25 @@ def test_a_very_long_text_and_doc_ids_that_are_no_integers(spark):
     assert [g[:4] for g in got] == [(0, 1_300_000, 0, 0), (1, 302, 300, 1)]
     with pytest.raises(TypeError):
         sd.removals(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_windows_of_a_hot_anchor_are_shipped_as_hashes(spark, monkeypatch):
+    """A passage with 200 borders: what its spread windows take on disk is far less than their 100 bytes each."""
+    monkeypatch.setattr(sd, "HOT", 20)
+    monkeypatch.setattr(sd, "HOT_TIMES", 1)
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(150)
+    texts = [passage + word(120) for _ in range(200)]
+    texts.append(texts[7][60:240])
+    made, whole = [], sd.cut
+    monkeypatch.setattr(sd, "cut", lambda df, name: made.append((name, whole(df, name))) or made[-1][1])
+    assert ours(sd.removals(docs(spark, texts))) == brute(list(enumerate(texts)))
+    spread = dict(made)["suffixes"].filter("bucket IS NOT NULL")
+    windows = sum(len(sd.unpack(r.windows)[0]) for r in spread.select("windows").collect())
+    size = sum(len(v) for r in spread.drop("v", "bucket").collect() for v in r if isinstance(v, (bytes, bytearray)))
+    assert windows > 1000 and size < 50 * windows
+
+
+def test_a_shard_keeps_a_share_of_a_task():
+    assert [sd._hot(n, 50) for n in (0, 10**6, 10**9)] == [sd.HOT, 2500, sd.HOT * sd.HOT_TIMES]
