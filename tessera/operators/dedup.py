@@ -84,21 +84,22 @@ def close_pairs(reps: DataFrame, bits: int, within: str | None = None, across: s
     k = agreeing_blocks(reps.count(), bits)
     n = bits + k
     edges = [64 * i // n for i in range(n + 1)]
-    word = F.shiftleft(F.col("lo"), 32).bitwiseOR(F.col("hi"))
-    blocks = [F.shiftrightunsigned(F.shiftleft(word, a), 64 - (z - a)) for a, z in zip(edges[:-1], edges[1:])]
-    choices = [sum(1 << i for i in chosen) for chosen in combinations(range(n), k)]
-    masks = [sum((((1 << (z - a)) - 1) << (64 - z)) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if m >> i & 1) for m in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(c).alias("choice"), word.bitwiseAND(F.lit(m)).alias("key")) for c, m in zip(choices, signed)])
-    flat = reps.select("*", F.array(*blocks).alias("_blocks"), F.explode(keys).alias("_k")).select("*", "_k.choice", "_k.key").drop("_k")
-    a, b = flat.alias("a"), flat.alias("b")
+    word = F.shiftleft(F.col("lo"), 32).bitwiseOR(F.col("hi")).alias("word")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    blocks = [((1 << (z - a)) - 1) << (64 - z) for a, z in zip(edges[:-1], edges[1:])]
+    choices = [(sum(1 << i for i in chosen), sum(blocks[i] for i in chosen)) for chosen in combinations(range(n), k)]
+    keys = F.array(*[F.struct(F.lit(c).alias("choice"), F.col("word").bitwiseAND(F.lit(signed(m))).alias("key")) for c, m in choices])
+    flat = reps.select("rep", within or across, word).select("*", F.explode(keys).alias("_k")).select("rep", within or across, "word", "_k.choice", "_k.key")
+    # Merged: by the size of the unexploded table Spark would take a side for small, and build all its keys on the driver.
+    a, b = flat.hint("merge").alias("a"), flat.hint("merge").alias("b")
     on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
     if within:
         on = on & (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.rep") < F.col("b.rep"))
-    if across:
+    else:
         on = on & (F.col(f"a.{across}") < F.col(f"b.{across}"))
-    distance = F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo"))) + F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi")))
-    agree = F.filter(F.zip_with(F.zip_with("a._blocks", "b._blocks", lambda x, y: x == y), F.array(*[F.lit(1 << i) for i in range(n)]), lambda same, bit: F.when(same, bit)), lambda x: x.isNotNull())
+    differ = F.col("a.word").bitwiseXOR(F.col("b.word"))
+    distance = F.bit_count(differ)
+    agree = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(1 << i)) for i, m in enumerate(blocks)]), lambda x: x.isNotNull())
     first = F.aggregate(F.slice(agree, 1, k), F.lit(0), lambda s, x: s + x)
     return a.join(b, on).filter((distance <= bits) & (first == F.col("a.choice"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), distance.cast("int").alias("distance"))
 

@@ -306,3 +306,11 @@ def test_descriptors():
     assert bin(images.perceptual_hash(noise) ^ images.perceptual_hash(noise + 0)).count("1") == 0
     assert images.letterbox(448, 224) == (224, 112, 0, 56)
     assert images.preprocessing_steps(0.05, 30) == ["hair_removal", "clahe"] and images.preprocessing_steps(0.05, 30, "standard") == [] and images.preprocessing_steps(0.5, 50) == []
+
+
+@pytest.mark.parametrize("how", [{"within": "cls"}, {"across": "cls"}])
+def test_close_pairs_are_not_broadcast(spark, tmp_path, how):
+    """Each hash has dozens of keys: sides that look small by the table's size are not."""
+    spark.range(1000).select(F.col("id").alias("rep"), (F.col("id") % 3).cast("string").alias("cls"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("lo"), F.xxhash64("id", "id").bitwiseAND(0xFFFFFFFF).alias("hi")).write.parquet(f"{tmp_path}/reps")
+    plan = dedup.close_pairs(spark.read.parquet(f"{tmp_path}/reps"), 5, **how)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
