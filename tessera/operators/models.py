@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import argmax, clipped
+from tessera.operators import forest
 
 #: The deepest that Spark ML grows a tree; unlimited depth is not to be had.
 CLASSIFIERS: dict[str, Callable] = {
@@ -38,7 +39,12 @@ def weighted(rows: DataFrame) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, name: str, n_folds: int, seed: int, **more) -> DataFrame:
-    """Pooled out-of-fold predictions. ``rows``: id, fold, y (double), vec. Fold f is seeded with seed + f."""
+    """Pooled out-of-fold predictions. ``rows``: id, fold, y (double), vec. Fold f is seeded with seed + f.
+
+    A random forest is grown by ``forest``, whole trees in a task, where the vectors can be broadcast, and by Spark ML beyond.
+    """
+    if name == "random_forest" and forest.fits(rows):
+        return forest.out_of_fold(rows, n_folds, seed, **more)
     data = rows.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
     parts = []
     for f in range(n_folds):
