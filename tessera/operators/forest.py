@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.sinks import written
+
 BINS = 32
 #: Bytes of binned values that are broadcast at most; trees a task.
 MOST_BYTES, TREES = 16_000_000, 10
@@ -141,4 +143,5 @@ def out_of_fold(rows: DataFrame, n_folds: int, seed: int, trees: int = 300, dept
     known = spark.createDataFrame(got.select(["id", "fold", "y"]).append_column("at", pa.array(np.arange(len(y)))))
     p = by_row.select("at", total.alias("s")).select("at", F.transform("s", lambda v: v / F.aggregate("s", F.lit(0.0), lambda a, b: a + b)).alias("p"))
     best = (F.array_position("p", F.array_max("p")) - 1).cast("int")
-    return known.join(p, "at").select("id", F.col("fold").cast("int").alias("fold"), F.col("y").cast("int").alias("y"), best.alias("pred"), "p")
+    # Written: what follows reads it more than once, and would grow the trees anew each time.
+    return written(known.join(p, "at").select("id", F.col("fold").cast("int").alias("fold"), F.col("y").cast("int").alias("y"), best.alias("pred"), "p"))
